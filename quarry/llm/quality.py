@@ -24,7 +24,7 @@ BUCKETS = 16384
 #: Added to each bucket's count in both models, as a share of the mean count.
 SMOOTHING = 0.5
 #: Nats an n-gram below which a document is rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.05
 #: Trusted ids up to this number are broadcast (16 MB); more are joined by shuffle.
 TRUSTED_ROWS = 1_000_000
 SYMBOLS = "#*$%&|<>"
