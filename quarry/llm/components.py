@@ -1,0 +1,35 @@
+"""Connected components of links, by alternating large and small stars; nothing is gathered on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node in ``edges`` (a long, b long) that is not its component's least node.
+
+    Each step hangs the larger neighbours of a node to the least one, then the smaller ones; it ends when all
+    components are stars, after a number of steps that is logarithmic in the longest path.
+    """
+    e = edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = stored(e, "edges")
+    before = _sum(e)
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # A node with several smaller neighbours stays linked to the least as well.
+        e = stored(small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        after = _sum(e)
+        if after == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = after
+
+
+def _sum(e: DataFrame):
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
