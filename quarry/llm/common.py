@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.storage import stored
+
+__all__ = ["joined", "let", "small", "stored", "words"]
+
 #: White space between words, the six ASCII characters.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -24,19 +25,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; a local one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or os.path.join(tempfile.gettempdir(), "quarry-shared")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; looks at one row more than that at most."""
     return df.limit(rows + 1).count() <= rows

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, found by R-trees over count vectors.
 
-A document is the set of its 5-word shingles, as 64-bit hashes. Equal sets are one class. Hashes fall into GROUPS
-groups; the counts of a class by group are its point. Two sets share at most the sum over all groups of the smaller
+A document is the set of its 5-word shingles, as 64-bit hashes. Equal sets are one class. Hashes fall into power-of-two
+groups; the counts of a class by group are its point. Larger sets have more groups, always a power of two, so that
+points fold to fewer groups where sets of two resolutions meet. Two sets share at most the sum over all groups of the smaller
 count, so an R-tree over points, whose nodes keep the largest count of each group, bounds the overlap of a set with
 all sets below a node. Pairs that pass the bound are verified on the sets themselves.
 
@@ -23,6 +24,8 @@ read. Hashes of 64 bits stand for shingles and sets: about N^2 / 2^65 of N docum
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import byte_list, chunks
 from quarry.llm.common import joined, stored
-from quarry.llm.components import components
+from quarry.operators.components import components
 from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, mixed, shared
 
-SHINGLE, PERCENT, GROUPS, FAN = 5, 80, 64, 32
+SHINGLE, PERCENT, FAN = 5, 80, 32
+#: Groups of hashes: a power of two from the least to the most, at least this share of a set's size.
+LEAST_GROUPS, MOST_GROUPS, SHARE = 64, 32768, 0.08
 #: Orders of hashes for the rounds of leaders, and classes in a group above which it is salted.
 ORDERS, SALTED = (0, 0x5DEECE66D1234567), 4096
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,11 +63,32 @@ def shingle_sets(texts: list[bytes], known: WordHashes, width: int = SHINGLE) ->
     return out
 
 
-def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def groups_for(size: int) -> int:
+    """The groups that a set of that size is counted in."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, int(SHARE * size)).bit_length()))
+
+
+def point(shingles: np.ndarray) -> np.ndarray:
     """The counts of a set by group of hashes."""
+    groups = groups_for(len(shingles))
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def octave_of(size: int) -> int:
+    """Sizes whose quotient is 100 / PERCENT at most lie in the same octave or in neighbours."""
+    return int(math.floor(math.log(size) / math.log(100 / PERCENT) + 1e-9))
+
+
+def octave_groups(octave: int) -> int:
+    """The groups in which the sets of an octave and of the one below meet: those of the smallest such set."""
+    return groups_for(int((100 / PERCENT) ** (octave - 1) * 0.99))
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A point with fewer groups."""
+    return counts if len(counts) == groups else counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
 def prefix(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The hashes of which a set shares one with every set that is alike."""
     n = len(shingles)
@@ -84,7 +110,7 @@ class CountTree:
     smallest size is its first point's.
     """
 
-    def __init__(self, groups: int = GROUPS):
+    def __init__(self, groups: int):
         self.sizes = np.zeros(FAN, dtype=np.int64)
         self.levels = [np.zeros((FAN, groups), dtype=np.int32)]
         self.n = 0
@@ -127,11 +153,11 @@ class CountTree:
             nodes = nodes[((nodes + 1) * span > low) & (nodes * span < self.n)]
 
 
-SIGNED = "doc_id long, n_shingles int, class long, prefix binary, counts binary"
+SIGNED = "doc_id long, n_shingles int, class long, prefix binary, counts binary, head0 long, head1 long"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), prefix and counts of every document."""
+    """doc_id, n_shingles, class (null for an empty set), prefix, counts and min-hashes of every document."""
 
     def run(batches):
         known = WordHashes()
@@ -144,13 +170,21 @@ def signed(docs: DataFrame) -> DataFrame:
                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([prefix(s).tobytes() for s in sets], pa.binary()),
                     pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                    *[pa.array([head(s, order) for s in sets], pa.int64()) for order in ORDERS],
                 ],
-                ["doc_id", "n_shingles", "class", "prefix", "counts"],
+                ["doc_id", "n_shingles", "class", "prefix", "counts", "head0", "head1"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
+def head(shingles: np.ndarray, order: int) -> int | None:
+    """The min-hash of a set in an order of hashes."""
+    if not len(shingles):
+        return None
+    return int((mixed(shingles ^ np.uint64(order)) if order else shingles).min().view(np.int64))
+
+
 def set_class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
@@ -179,50 +213,44 @@ def sharing(signs: DataFrame) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, text of the document that stands for each of ``classes`` (class, rep)."""
-    wanted = classes.select("class", F.col("rep").alias("doc_id"))
-    return joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").select("class", "text")
-
-
-def _headed(texts: DataFrame, order: int) -> DataFrame:
-    def sign(batches):
-        known = WordHashes()
-        for batch in chunks(batches):
-            sets = shingle_sets(byte_list(batch), known)
-            heads = [int((mixed(s ^ np.uint64(order)) if order else s).min().view(np.int64)) if len(s) else 0 for s in sets]
-            right = pa.array([bool(len(s)) and set_class(s) == c for s, c in zip(sets, batch.column("class").to_pylist())], pa.bool_())
-            columns = [pa.array(heads, pa.int64()), batch.column("class"), pa.array([len(s) for s in sets], pa.int32()), batch.column("text")]
-            yield pa.RecordBatch.from_arrays(columns, ["head", "class", "n", "text"]).filter(right)  # not: another row of the same id
+    """``classes`` (class, rep, ...) with the text of the document that stands for each, instead of its id."""
+    wanted = classes.withColumnRenamed("rep", "doc_id")
+    return joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").drop("doc_id")
 
-    return texts.mapInArrow(sign, "head long, class long, n int, text string")
 
+def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> DataFrame:
+    """(a, b): links of followers to their leaders, among classes (class, rep, n, min-hashes) of one min-hash ``order``.
 
-def round_of_leaders(texts: DataFrame, order: int) -> DataFrame:
-    """(a, b): links of followers to their leaders; ``texts`` has class and text."""
-    rows = stored(_headed(texts, order), "jaccard-round")
-    large = rows.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") > SALTED)
-    salt = F.when(F.col("size").isNotNull(), F.pmod("class", F.ceil(F.col("size") / SALTED))).otherwise(F.lit(0)).cast("int")
-    dealt = joined(rows, large, "head", "left").select("head", salt.alias("salt"), "n", "class", "text")
+    Only texts of classes that have company are read; groups of more than SALTED classes are split by a salt.
+    """
+    company = classes.groupBy(F.col(order).alias("head")).agg(F.count("*").alias("size")).where("size > 1")
+    salt = F.pmod("class", F.ceil(F.col("size") / SALTED)).cast("int")
+    dealt = joined(classes.withColumnRenamed(order, "head"), company, "head").select("class", "rep", "head", salt.alias("salt"), "n")
+    dealt = class_texts(docs, dealt)
 
     def follow(batches):
         known, group = WordHashes(), None
         for batch in chunks(batches):
             sets = shingle_sets(byte_list(batch), known)
             followers, leaders = [], []
-            for head, salt_, c, s in zip(*(batch.column(x).to_pylist() for x in ("head", "salt", "class")), sets):
-                if (head, salt_) != group:
-                    group, tree, led_by, last = (head, salt_), CountTree(), [], None
-                if c == last:
-                    continue
-                last, counts, found = c, point(s), False
-                for k in tree.query(counts, len(s)).tolist():
+            for head_, salt_, c, s in zip(*(batch.column(x).to_pylist() for x in ("head", "salt", "class")), sets):
+                if (head_, salt_) != group:
+                    group, trees, last = (head_, salt_), {}, None
+                if c == last or not len(s) or set_class(s) != c:
+                    continue  # another row of the same id
+                last, counts, octave, found = c, point(s), octave_of(len(s)), False
+                for o in (octave, octave + 1):
+                    trees.setdefault(o, (CountTree(octave_groups(o)), []))
+                tree, led_by = trees[octave]
+                for k in tree.query(folded(counts, octave_groups(octave)), len(s)).tolist():
                     if alike(s, led_by[k][1]):
                         followers.append(c)
                         leaders.append(led_by[k][0])
                         found = True
                 if not found:
-                    tree.append(counts, len(s))
-                    led_by.append((c, s))
+                    for o in (octave, octave + 1):
+                        trees[o][0].append(folded(counts, octave_groups(o)), len(s))
+                        trees[o][1].append((c, s))
             yield pa.RecordBatch.from_arrays([pa.array(followers, pa.int64()), pa.array(leaders, pa.int64())], ["a", "b"])
 
     return dealt.repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "n", "class").mapInArrow(follow, "a long, b long")
@@ -237,7 +265,7 @@ def open_pairs(active: DataFrame, points: DataFrame, roots: DataFrame) -> DataFr
     placed = joined(active, roots.select(F.col("node").alias("owner"), "root"), "owner", "left").select("key", "owner", F.coalesce("root", "owner").alias("root"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     rows = placed.join(mixed_keys.hint("merge"), "key", "left_semi").join(points.withColumnRenamed("class", "owner").hint("merge"), "owner")
-    octave = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    octave = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT)) + 1e-9).cast("int")
     dealt = rows.withColumn("o", octave).select("key", "owner", "root", "n", "counts", F.explode(F.array(F.struct(F.col("o").alias("octave"), F.lit(True).alias("asks")), F.struct((F.col("o") + 1).alias("octave"), F.lit(False).alias("asks")))).alias("p"))
     dealt = dealt.select("key", "p.octave", "n", "owner", "p.asks", "root", "counts")
 
@@ -247,8 +275,9 @@ def open_pairs(active: DataFrame, points: DataFrame, roots: DataFrame) -> DataFr
             a, b = [], []
             for key, octave_, n, c, asks, root, raw in zip(*(x.to_pylist() for x in batch.columns)):
                 if (key, octave_) != group:
-                    group, tree, met = (key, octave_), CountTree(), []
-                counts = np.frombuffer(raw, dtype=np.int32)
+                    group, groups, met = (key, octave_), octave_groups(octave_), []
+                    tree = CountTree(groups)
+                counts = folded(np.frombuffer(raw, dtype=np.int32), groups)
                 if asks:
                     for k in tree.query(counts, n).tolist():
                         if met[k][1] != root:
@@ -279,20 +308,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row of ``docs``."""
     signs = stored(signed(docs), "jaccard-signs")
-    classes = stored(signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "jaccard-classes")
+    heads = [f"head{k}" for k in range(len(ORDERS))]
+    classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
+    classes = stored(classes, "jaccard-classes")
     active = stored(sharing(signs), "jaccard-active")
     asked = stored(joined(classes, active.select(F.col("owner").alias("class")).distinct(), "class", "left_semi").where("rep is not null"), "jaccard-asked")
-    # The same text may stand under one id twice: one row a class is enough.
     edges, left = None, asked
-    for order in ORDERS:
-        links = stored(round_of_leaders(class_texts(docs, left), order), "jaccard-links")
+    for order in heads:
+        links = stored(round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order), "jaccard-links")
         edges = links if edges is None else edges.unionByName(links)
         left = joined(left, links.select(F.col("a").alias("class")).distinct(), "class", "left_anti")
     roots = components(edges)
     points = signs.join(asked.select("class", F.col("rep").alias("doc_id")).hint("merge"), ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "counts").dropDuplicates(["class"])
     pairs = stored(open_pairs(active, points, roots), "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = _one_each(class_texts(docs, joined(classes, ends, "class", "left_semi")))
+    texts = _one_each(class_texts(docs, joined(classes.select("class", "rep"), ends, "class", "left_semi")))
     more = stored(verified(pairs, texts), "jaccard-links")
     # Components found so far count as links of their nodes to their roots.
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -312,4 +342,4 @@ def _one_each(texts: DataFrame) -> DataFrame:
             sets = shingle_sets(byte_list(batch), known)
             yield batch.filter(pa.array([bool(len(s)) and set_class(s) == c for s, c in zip(sets, batch.column("class").to_pylist())], pa.bool_()))
 
-    return texts.mapInArrow(right, "class long, text string").dropDuplicates(["class"])
+    return texts.select("class", "text").mapInArrow(right, "class long, text string").dropDuplicates(["class"])
