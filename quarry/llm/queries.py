@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontam, html, jaccard, quality, sharding, substring, token_counts, toxicity, url_filters
 
+from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,4 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {}
