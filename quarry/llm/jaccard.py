@@ -8,8 +8,8 @@ all sets below a node. Pairs that pass the bound are verified on the sets themse
 
 How the work is dealt out without all pairs:
 
-1. Two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 hashes of each, in order of hash. Classes that
-   share none of these with a class of fitting size are linked with nothing and drop out.
+1. Two sets with Jaccard >= t share at least k of the first n - ceil(t n) + k hashes of each, in order of hash. Classes
+   that share fewer of these with classes of fitting size are linked with nothing and drop out.
 2. Rounds of leaders: the rest is dealt by a min-hash. In a group, in order of size, each class is verified against
    the leaders that the R-tree gives; linked ones follow, others become leaders. Large groups are salted. This links
    most of what is alike, at a cost in proportion to the classes.
@@ -40,6 +40,8 @@ from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_co
 SHINGLE, PERCENT, FAN = 5, 80, 32
 #: Groups of hashes: a power of two from the least to the most, at least this share of a set's size.
 LEAST_GROUPS, MOST_GROUPS, SHARE = 64, 32768, 0.08
+#: Hashes by which prefixes are longer than they had to be, in percent of the set, so that more of them must agree.
+EXTRA = 5
 #: Orders of hashes for the rounds of leaders, and classes in a group above which it is salted.
 ORDERS, SALTED = (0, 0x5DEECE66D1234567), 4096
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -74,6 +76,17 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed_point(shingles: np.ndarray) -> bytes:
+    """A point in one byte a group, or in four if a count needs them."""
+    counts = point(shingles)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else counts.tobytes()
+
+
+def unpacked_point(raw: bytes, size: int) -> np.ndarray:
+    wide = len(raw) > groups_for(size)
+    return np.frombuffer(raw, dtype=np.int32 if wide else np.uint8).astype(np.int32)
+
+
 def octave_of(size: int) -> int:
     """Sizes whose quotient is 100 / PERCENT at most lie in the same octave or in neighbours."""
     return int(math.floor(math.log(size) / math.log(100 / PERCENT) + 1e-9))
@@ -90,9 +103,17 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The hashes of which a set shares one with every set that is alike."""
+    """The least hashes of a set, of which every set that is alike has many in its own: see ``least_shared``."""
     n = len(shingles)
-    return shingles[: n - -(-percent * n // 100) + 1]
+    return shingles[: n - -(-percent * n // 100) + 1 + EXTRA * n // 100]
+
+
+def least_shared(n):
+    """How many hashes of its prefix a set of ``n`` shares with the prefix of each set that is alike, at least.
+
+    The k-th common hash stands among the first n - ceil(t n) + k of both sets. The other set may be smaller by t.
+    """
+    return 1 + (n * (EXTRA * PERCENT) - n * (EXTRA * PERCENT) % 10000) / 10000
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -169,7 +190,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([prefix(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([packed_point(s) for s in sets], pa.binary()),
                     *[pa.array([head(s, order) for s in sets], pa.int64()) for order in ORDERS],
                 ],
                 ["doc_id", "n_shingles", "class", "prefix", "counts", "head0", "head1"],
@@ -277,7 +298,7 @@ def open_pairs(active: DataFrame, points: DataFrame, roots: DataFrame) -> DataFr
                 if (key, octave_) != group:
                     group, groups, met = (key, octave_), octave_groups(octave_), []
                     tree = CountTree(groups)
-                counts = folded(np.frombuffer(raw, dtype=np.int32), groups)
+                counts = folded(unpacked_point(raw, n), groups)
                 if asks:
                     for k in tree.query(counts, n).tolist():
                         if met[k][1] != root:
@@ -312,7 +333,9 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
     classes = stored(classes, "jaccard-classes")
     active = stored(sharing(signs), "jaccard-active")
-    asked = stored(joined(classes, active.select(F.col("owner").alias("class")).distinct(), "class", "left_semi").where("rep is not null"), "jaccard-asked")
+    met = active.groupBy(F.col("owner").alias("class")).agg(F.count("*").alias("met"))
+    asked = stored(joined(classes.where("rep is not null"), met, "class").where(F.col("met") >= least_shared(F.col("n").cast("long")).cast("long")).drop("met"), "jaccard-asked")
+    active = joined(active, asked.select(F.col("class").alias("owner")), "owner", "left_semi")
     edges, left = None, asked
     for order in heads:
         links = stored(round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order), "jaccard-links")
