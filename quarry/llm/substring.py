@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.arrow import byte_list, chunks
 from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, shared
@@ -198,7 +199,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_spac
     """``docs`` with n_words, n_removed and kept_text: the kept words joined by one space or, with ``keep_space``, the
     text without the removed words. The text itself is not returned."""
     own = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text")]
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in own])
+    # The columns passed by go in one struct, so that no name can clash.
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"))
     found = _spans(rows)
 
     def remove(batches):
@@ -215,7 +217,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_spac
                 removed.append(int(gone.sum()))
                 kept.append(cut_out(raw, gone) if keep_space else b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
             new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *new], [*own, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *new], ["own", "n_words", "n_removed", "kept_text"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own], "n_words long, n_removed long, kept_text string"])
-    return rows.join(found.hint("merge"), "_id", "left").mapInArrow(remove, schema)
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
+    return rows.join(found.hint("merge"), "_id", "left").mapInArrow(remove, StructType([rows.schema["own"], *added])).select("own.*", "n_words", "n_removed", "kept_text")
