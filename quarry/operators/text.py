@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import set_cosine
 
-#: Punctuation and digits, which are deleted before a text is split.
-DELETED = "()[],.!?:;0123456789"
+#: ASCII punctuation and digits, which are deleted before a text is split.
+DELETED = string.punctuation + string.digits
 
 
 def tokens(text: Column, stopwords: list[str] = ()) -> Column:

@@ -79,9 +79,10 @@ def jaccard(key: str = "item_id", by: str = "user_id") -> str:
   jac AS (SELECT a, b, common, common / (p.n + q.n - common) AS sim FROM common JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b)"""
 
 
+_deleted = DELETED.replace("'", "''")
 _stop = ", ".join(f"'{w}'" for w in STOPWORDS)
 WORDS = f"""reviews AS (SELECT doc_id % 50 AS user_id, source AS item_id, text FROM documents),
-  words AS (SELECT item_id AS key, unnest(regexp_split_to_array(translate(lower(coalesce(text, '')), '{DELETED}', ''), '[\\x20\\x09-\\x0D]+')) AS word FROM reviews),
+  words AS (SELECT item_id AS key, unnest(regexp_split_to_array(translate(lower(coalesce(text, '')), '{_deleted}', ''), '[\\x20\\x09-\\x0D]+')) AS word FROM reviews),
   kept AS (SELECT * FROM words WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ({_stop})),
   counts AS (SELECT key, word, count(*) AS n FROM kept GROUP BY 1, 2 HAVING count(*) >= 2),
   tf AS (SELECT key, word, n, n / max(n) OVER (PARTITION BY key) AS tf FROM counts),

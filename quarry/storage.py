@@ -15,8 +15,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found or os.path.join(tempfile.gettempdir(), "quarry-shared")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage, outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this process stored, once no DataFrame that reads them is needed any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
