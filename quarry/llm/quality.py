@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import let, small, words
 
 BUCKETS = 16384
-#: Added to each bucket's count in both models, as a share of the mean count.
-SMOOTHING = 0.5
+#: Occurrences that each bucket is taken to have besides its own, as likely trusted as the corpus at large: a bucket
+#: with few occurrences says little, whatever they are.
+PRIOR = 100.0
 #: Nats an n-gram below which a document is rejected.
-THRESHOLD = -0.05
+THRESHOLD = -0.04
 #: Trusted ids up to this number are broadcast (16 MB); more are joined by shuffle.
 TRUSTED_ROWS = 1_000_000
 SYMBOLS = "#*$%&|<>"
@@ -37,8 +38,8 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
     return F.when(F.size(w) < 2, one).otherwise(F.concat(one, pairs))
 
 
-def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """ln p_trusted - ln p_raw for each bucket, from counts over all documents.
+def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, prior: float = PRIOR) -> list[float]:
+    """ln p_trusted - ln p_raw for each bucket, from counts over all documents, both smoothed by the same prior.
 
     Trusted are documents all of whose labels have quality 1. The counts are pre-aggregated to ``n`` rows a task; the
     driver gets the ``n`` totals.
@@ -52,9 +53,8 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, smoothing: float =
         raw[b], good[b] = r, g
     if not sum(good):
         return [0.0] * n
-    a, b = sum(good) / n * smoothing, sum(raw) / n * smoothing
-    total_a, total_b = sum(good) + a * n, sum(raw) + b * n
-    return [math.log((g + a) / total_a) - math.log((r + b) / total_b) for g, r in zip(good, raw)]
+    share = sum(good) / sum(raw)
+    return [math.log((g / share + prior) / (r + prior)) for g, r in zip(good, raw)]
 
 
 def score(w: Column, ratios: list[float]) -> Column:

@@ -29,8 +29,8 @@ def brute_quality(docs, labels, n=quality.BUCKETS):
     grams = {i: [spark_hash(x) % n for x in w] + [spark_hash(a, b) % n for a, b in zip(w, w[1:])] for i, w in words.items()}
     good = {i for i, q in labels if q == 1}
     raw, fine = Counter(g for v in grams.values() for g in v), Counter(g for i, v in grams.items() if i in good for g in v)
-    a, b = sum(fine.values()) / n * 0.5, sum(raw.values()) / n * 0.5
-    ratio = lambda g: math.log((fine[g] + a) / (sum(fine.values()) + a * n)) - math.log((raw[g] + b) / (sum(raw.values()) + b * n))
+    share = sum(fine.values()) / max(1, sum(raw.values()))
+    ratio = lambda g: math.log((fine[g] / share + quality.PRIOR) / (raw[g] + quality.PRIOR))
     out = {}
     for i, t in docs:
         w, lines = words[i], [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
