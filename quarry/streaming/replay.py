@@ -28,8 +28,12 @@ def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
 
 
 def file_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """A stream of the event files called ``name`` in a folder, also such as arrive later."""
-    return spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet" if name.endswith("/") else name).parquet(folder)
+    """A stream of the event table called ``name``, a file or a folder of files; files that arrive later come as well."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(EVENT)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def json_field(lines: DataFrame, field: str) -> DataFrame:
