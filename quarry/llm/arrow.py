@@ -7,9 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one output batch covers at most, unless one text is longer.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+#: Bytes of an Arrow batch between the JVM and a Python worker, and Spark's setting for that.
+ARROW_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session be larger than ARROW_BYTES, but for a single longer row: Spark's own bound is
+    64 MB, which each running task would hold several times over."""
+    if _bytes(spark.conf.get(BATCH_CONF, "64m")) > ARROW_BYTES:
+        spark.conf.set(BATCH_CONF, f"{ARROW_BYTES}b")
+
+
+def _bytes(size: str) -> int:
+    number, unit = size.lower().rstrip("b") or "0", 1
+    if number[-1] in "kmg":
+        number, unit = number[:-1], 1024 ** (1 + "kmg".index(number[-1]))
+    return int(number) * unit if int(number) > 0 else 1 << 62
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.arrow import chunks, text_list
+from quarry.llm.arrow import bounded, chunks, text_list
 
 NO_RANK = 1 << 30
 NO_PAIR = NO_RANK << 32
 #: Pieces that a worker remembers before it starts anew, and tree leaves that it builds at once.
-MEMORY, FOREST_CELLS = 300_000, 400_000
+MEMORY, FOREST_CELLS = 120_000, 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,14 +43,14 @@ class Forest:
     pairs and the nodes above them: logarithmic in the length of the word.
     """
 
-    def __init__(self, words: list[list[int]], size: int, bpe: Bpe):
-        n = len(words)
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, size: int, bpe: Bpe):
+        """``symbols``: the ids of all words' symbols, laid end to end; ``size``: a power of two, no word is longer."""
+        n = len(lengths)
         self.bpe, self.size = bpe, size
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
         at = np.arange(size)
         inside = at < lengths[:, None]
         self.ids = np.full((n, size + 1), -1, dtype=np.int64)
-        self.ids[:, :size][inside] = np.fromiter((x for w in words for x in w), dtype=np.int64, count=int(lengths.sum()))
+        self.ids[:, :size][inside] = symbols
         self.after = np.where(at + 1 < lengths[:, None], at + 1, size)  # size: past the end
         self.before = np.tile(np.arange(-1, size), (n, 1))
         self.tree = np.full((n, 2 * size), NO_PAIR, dtype=np.int64)
@@ -69,8 +69,8 @@ class Forest:
             k = k >> 1
             tree[row, k] = np.minimum(tree[row, 2 * k], tree[row, 2 * k + 1])
 
-    def merged(self) -> list[np.ndarray]:
-        """The ids of each word once no pair is left to merge."""
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, laid end to end, once no pair is left to merge; and where each word ends."""
         ids, after, before, size = self.ids, self.after, self.before, self.size
         while len(row := np.flatnonzero(self.tree[:, 1] < NO_PAIR)):
             top = self.tree[row, 1]
@@ -89,7 +89,7 @@ class Forest:
             row, h, i = row[left], h[left], i[left]
             self.put(row, h, self.bpe.rank_of(ids[row, h], ids[row, i]))
         kept = ids >= 0
-        return np.split(ids[kept].astype(np.int32), np.cumsum(kept.sum(axis=1))[:-1])
+        return ids[kept].astype(np.int32), np.cumsum(kept.sum(axis=1))
 
 
 class Bpe:
@@ -111,8 +111,10 @@ class Bpe:
         self.made = np.array([self.ids[a + b] for a, b in pairs], dtype=np.int64)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.symbol = byte_symbols()
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        #: The id of each byte, inside a word and at its end.
+        self.inner = np.array([self.ids[c] for _, c in sorted(byte_symbols().items())], dtype=np.int64)
+        self.final = np.array([self.ids[c + self.suffix] for _, c in sorted(byte_symbols().items())], dtype=np.int64)
+        self.forget()
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of pairs of ids; NO_RANK where a pair can't be merged or has no right side."""
@@ -120,68 +122,71 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], NO_RANK)
 
-    def symbols(self, word: str) -> list[int]:
-        """The ids of a pre-token's bytes, the last with the end of the word."""
-        out = [self.symbol[b] for b in word.encode()]
-        out[-1] += self.suffix
-        return [self.ids[s] for s in out]
+    def forget(self) -> None:
+        """Start anew: ids (32 bits each) and tokens (a blank after each) of words, and of texts between blanks."""
+        self.words: dict = {i: (np.int32(i).tobytes(), t + " ") for t, i in self.special.items()}
+        self.piece_ids: dict[str, bytes] = {"": b""}
+        self.piece_tokens: dict[str, str] = {"": ""}
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each pre-token; words of like length share a forest."""
-        spelled = [self.symbols(w) for w in words]
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+    def merge(self, words: list[str]) -> None:
+        """Encode pre-tokens and remember them; words of like length share a forest."""
+        coded = [w.encode() for w in words]
         sizes: dict[int, list[int]] = {}
-        for k, w in enumerate(spelled):
+        for k, w in enumerate(coded):
             sizes.setdefault(1 << (len(w) - 1).bit_length(), []).append(k)
         for size, group in sizes.items():
             step = max(1, FOREST_CELLS // size)
             for a in range(0, len(group), step):
                 part = group[a : a + step]
-                for k, ids in zip(part, Forest([spelled[k] for k in part], size, self).merged()):
-                    out[k] = ids
-        return out
+                lengths = np.array([len(coded[k]) for k in part], dtype=np.int64)
+                text = np.frombuffer(b"".join([coded[k] for k in part]), dtype=np.uint8)
+                symbols, last = self.inner[text], np.cumsum(lengths) - 1
+                symbols[last] = self.final[text[last]]
+                ids, ends = Forest(symbols, lengths, size, self).merged()
+                data, tokens, x = ids.tobytes(), [self.token[i] for i in ids.tolist()], 0
+                for k, y in zip(part, ends.tolist()):
+                    self.words[words[k]] = data[4 * x : 4 * y], " ".join(tokens[x:y]) + " "
+                    x = y
 
     def normal(self, text: str) -> str:
         """Composed and lower-cased, letter by letter."""
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def pretokens(self, piece: str) -> list:
+        """The pre-tokens of a text between blanks; a special token is its id."""
+        if not self.split_special or not self.split_special.search(piece):
+            text = self.normal(piece)
+            return [text] if text.isalpha() else self.pattern.findall(text)
+        out: list = []
+        for k, part in enumerate(self.split_special.split(piece)):
+            if k % 2:
+                out.append(self.special[part])
+            elif part:
+                out += self.pattern.findall(self.normal(part))
+        return out
+
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, that is texts between blanks, and remember them as (ids in 32 bits, tokens)."""
-        parts = []
-        for piece in pieces:
-            row: list = []
-            for k, part in enumerate(self.split_special.split(piece) if self.split_special else [piece]):
-                if k % 2:
-                    row.append(self.special[part])
-                elif part:
-                    row += self.pattern.findall(self.normal(part))
-            parts.append(row)
-        words = list({x for row in parts for x in row if isinstance(x, str)})
-        known: dict = dict(zip(words, self.merge(words)))
-        known = {w: (ids.tobytes(), " ".join([self.token[i] for i in ids.tolist()])) for w, ids in known.items()}
-        for i in self.special.values():
-            known[i] = (np.int32(i).tobytes(), self.token[i])
+        """Encode texts between blanks and remember them."""
+        parts = [self.pretokens(p) for p in pieces]
+        words = self.words
+        self.merge(list({x for row in parts for x in row if x not in words}))
         for piece, row in zip(pieces, parts):
             if len(row) == 1:
-                self.pieces[piece] = known[row[0]]
+                self.piece_ids[piece], self.piece_tokens[piece] = words[row[0]]
             else:
-                self.pieces[piece] = b"".join([known[x][0] for x in row]), " ".join([known[x][1] for x in row])
+                self.piece_ids[piece] = b"".join([words[x][0] for x in row])
+                self.piece_tokens[piece] = "".join([words[x][1] for x in row])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids of each text as 32-bit integers, and the text that they decode to."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > MEMORY:
-            self.pieces = {}
-        known = self.pieces
-        if new := {p for row in split for p in row if p not in known}:
-            self.learn(list(new))
-        known = self.pieces
-        out = []
-        for row in split:
-            found = [known[p] for p in row]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
-        return out
+        if len(self.piece_ids) > MEMORY:
+            self.forget()
+        if new := [p for p in set().union(*split) if p not in self.piece_ids]:
+            self.learn(new)
+        ids, tokens = self.piece_ids.__getitem__, self.piece_tokens.__getitem__
+        return [(b"".join(map(ids, row)), "".join(map(tokens, row))[:-1]) for row in split]
 
     def decode(self, ids) -> str:
         """The tokens joined by a space: the vocabulary has no decoder of its own."""
@@ -205,6 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     ``path``: a vocabulary file on the driver. The text column itself is not returned.
     """
+    bounded(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     own = [c for c in docs.columns if c not in (text, "token_ids", "decoded")]
@@ -224,6 +230,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the decoded text of an array of ids; a null array decodes to an empty text."""
+    bounded(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     own = [c for c in docs.columns if c != out]
