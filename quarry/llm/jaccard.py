@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import byte_list, chunks
+from quarry.llm.arrow import bounded, byte_list, chunks
 from quarry.llm.common import joined, stored
 from quarry.operators.components import components
 from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, mixed, shared
@@ -328,6 +328,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row of ``docs``."""
+    bounded(docs.sparkSession)
     signs = stored(signed(docs), "jaccard-signs")
     heads = [f"head{k}" for k in range(len(ORDERS))]
     classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
