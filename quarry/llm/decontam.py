@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import byte_list, chunks
+from quarry.llm.arrow import bounded, byte_list, chunks
 
 WIDTH = 10
-SHARD_WORDS, BLOCK_WORDS, SAMPLE = 2_000_000, 2_000_000, 8
+SHARD_WORDS, BLOCK_WORDS, SAMPLE = 700_000, 2_000_000, 8
 #: Lower-cases A-Z and turns every other ASCII character but letters and digits into a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -215,6 +215,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text: s
     """``docs`` without its text, with n_words, n_hit (words inside occurrences), spans (in words), items (ids of the
     benchmark items with occurrences, in string order) and, if ``clean``, clean_text: the text without the spans (null
     where there are none)."""
+    bounded(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in phrase_blocks(bench, width)]
     new = {k: v for k, v in NEW.items() if clean or k != "clean_text"}

@@ -18,13 +18,13 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.arrow import chunks, text_list
+from quarry.llm.arrow import bounded, chunks, text_list
 
 MARK = "▁"
 #: Cost of one byte of an uncovered character, in millionths of a nat: dearer than any piece.
 BYTE_COST = 30_000_000
 #: Counts that a worker remembers; beyond it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 def costs(pieces: list[str]) -> dict[str, int]:
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text") -> Data
 
     ``pieces``: a vocabulary in order of frequency; workers get it as a broadcast of fixed size.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     own = [c for c in docs.columns if c not in (text, "n_pretokens", "n_tokens")]
 
