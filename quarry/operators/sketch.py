@@ -49,13 +49,15 @@ def fm_estimate(values: DataFrame, column: str, by: list[str] = (), seed: int =
     For each hash function the most trailing zeros; means over groups of 10; the power of 2 of the median mean.
     """
     kept = values.select(*by, F.col(column).alias("v")).where("v is not null and v <> ''").distinct().select(*by, text_mod(F.col("v"), FM_MODULUS).alias("x"))
-    zeros = [F.max(trailing_zeros(affine(F.col("x"), a, b, FM_MODULUS))).alias(f"r{k}") for k, (a, b) in enumerate(fm_coefficients(seed))]
-    sums = kept.groupBy(*by).agg(F.count("*").alias("truth"), *zeros)
-    means = F.array(*[sum((F.col(f"r{g * FM_GROUP + k}") for k in range(1, FM_GROUP)), F.col(f"r{g * FM_GROUP}")) / F.lit(float(FM_GROUP)) for g in range(FM_GROUPS)])
-    order = F.array_sort(means)
-    median = (order[FM_GROUPS // 2 - 1] + order[FM_GROUPS // 2]) / 2
+    # One row for each value and hash function, summed up in the tasks to one row for each function.
+    functions = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in enumerate(fm_coefficients(seed))])
+    hashed = kept.select(*by, "x", F.inline(functions))
+    zeros = hashed.groupBy(*by, "k").agg(F.count("*").alias("truth"), F.max(trailing_zeros((F.col("x") * F.col("a") + F.col("b")) % FM_MODULUS)).alias("r"))
+    means = zeros.groupBy(*by, F.floor(F.col("k") / FM_GROUP).alias("g")).agg(F.max("truth").alias("truth"), F.avg("r").alias("mean"))
+    order = means.groupBy(*by).agg(F.coalesce(F.max("truth"), F.lit(0)).alias("truth"), F.array_sort(F.collect_list("mean")).alias("m"))
+    median = (F.get("m", F.lit(FM_GROUPS // 2 - 1)) + F.get("m", F.lit(FM_GROUPS // 2))) / 2
     estimate = F.when(F.col("truth") == 0, F.lit(0.5)).otherwise(F.pow(F.lit(2.0), median))
-    return sums.select(*by, "truth", estimate.alias("estimate"))
+    return order.select(*by, "truth", estimate.alias("estimate"))
 
 
 def sliding_distinct(events: DataFrame, ts: str, column: str, width: str, step: str) -> DataFrame:
