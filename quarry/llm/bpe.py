@@ -97,6 +97,7 @@ class Bpe:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self.spec, self.library = text, None
         model = spec["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -156,16 +157,28 @@ class Bpe:
     def pretokens(self, piece: str) -> list:
         """The pre-tokens of a text between blanks; a special token is its id."""
         if not self.split_special or not self.split_special.search(piece):
-            text = self.normal(piece)
-            return [text] if text.isalpha() else self.pattern.findall(text)
+            return self.split_words(piece)
         out: list = []
         for k, part in enumerate(self.split_special.split(piece)):
             if k % 2:
                 out.append(self.special[part])
             elif part:
-                out += self.pattern.findall(self.normal(part))
+                out += self.split_words(part)
         return out
 
+    def split_words(self, part: str) -> list[str]:
+        """Normal text cut by the vocabulary's pattern. Characters that this Python's Unicode does not know yet are left
+        to the tokenizers library's own normaliser and pattern, as its tables decide what they are."""
+        if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_str(self.spec)
+            text = self.library.normalizer.normalize_str(part)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        text = self.normal(part)
+        return [text] if text.isalpha() else self.pattern.findall(text)
+
     def learn(self, pieces: list[str]) -> None:
         """Encode texts between blanks and remember them."""
         parts = [self.pretokens(p) for p in pieces]

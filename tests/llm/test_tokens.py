@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from quarry.llm import bpe, queries, token_counts
 
@@ -34,6 +36,21 @@ def test_bpe_equals_library(library):
         assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want), text
 
 
+OWN = []
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(max_size=60))
+def test_bpe_on_any_text(library, text):
+    if not OWN:
+        OWN.append(bpe.Bpe(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()))
+    text = text.encode("utf-8", "ignore").decode()  # no lone surrogates
+    ids, decoded = OWN[0].encode([text])[0]
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, dtype=np.int32).tolist() == want
+    assert decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_query_digests(spark, documents, library, tmp_path):
     rows = [*enumerate(texts()), (900, None), (901, "again"), (901, "again"), (None, "no id")]
     documents(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
