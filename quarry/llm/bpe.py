@@ -169,7 +169,7 @@ class Bpe:
     def split_words(self, part: str) -> list[str]:
         """Normal text cut by the vocabulary's pattern. Characters that this Python's Unicode does not know yet are left
         to the tokenizers library's own normaliser and pattern, as its tables decide what they are."""
-        if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+        if not part.isascii() and not part.isprintable() and any(unicodedata.category(c) == "Cn" for c in part):
             if self.library is None:
                 from tokenizers import Tokenizer
 
