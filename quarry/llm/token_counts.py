@@ -24,7 +24,7 @@ MARK = "▁"
 #: Cost of one byte of an uncovered character, in millionths of a nat: dearer than any piece.
 BYTE_COST = 30_000_000
 #: Counts that a worker remembers; beyond it starts anew.
-MEMORY = 200_000
+MEMORY = 400_000
 
 
 def costs(pieces: list[str]) -> dict[str, int]:
@@ -37,10 +37,13 @@ def costs(pieces: list[str]) -> dict[str, int]:
 
 
 class Trie:
-    """Nodes as lists [children, depth parent, character, cost, pieces]; the root is an empty prefix of cost 0."""
+    """The distinct pre-tokens as nested dicts; a terminal's entry under the empty string is its pre-token.
+
+    A forward score is one integer, cost times 2**32 plus pieces, so that the lesser cost wins and then fewer pieces.
+    """
 
     def __init__(self, cost: dict[str, int]):
-        self.cost = cost
+        self.cost = {piece: (c << 32) + 1 for piece, c in cost.items()}
         self.longest = max(map(len, cost), default=1)
 
     def count(self, pretokens) -> dict[str, int]:
@@ -50,31 +53,28 @@ class Trie:
             node = root
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = word  # terminal
+            node[""] = word
         out: dict[str, int] = {}
-        cost, longest = self.cost, self.longest
-        # Depth first; best[i] = (cost, pieces) of the prefix of length i on the path to the node at hand.
-        path, best = [], [(0, 0)]
+        get, longest, unknown = self.cost.get, self.longest, (BYTE_COST << 32) + 1
+        # Depth first; best[i] is the score of the prefix of length i on the path to the node at hand, tail its end.
+        best = [0]
         stack = [(root, 0, "")]
         while stack:
-            node, depth, c = stack.pop()
+            node, depth, tail = stack.pop()
             if depth:
-                del path[depth - 1 :], best[depth:]
-                path.append(c)
-                spelled = "".join(path[-longest:])
-                n = len(c.encode())
-                low = (best[depth - 1][0] + BYTE_COST * n, best[depth - 1][1] + n)
-                for k in range(len(spelled)):
-                    if (x := cost.get(spelled[k:])) is not None:
-                        b = best[depth - len(spelled) + k]
-                        if (new := (b[0] + x, b[1] + 1)) < low:
-                            low = new
+                del best[depth:]
+                last = tail[-1]
+                low = best[depth - 1] + (unknown if last < "\x80" else unknown * len(last.encode()))
+                at = depth - len(tail)
+                for k in range(len(tail)):
+                    if (x := get(tail[k:])) is not None and best[at + k] + x < low:
+                        low = best[at + k] + x
                 best.append(low)
-            for k, child in node.items():
-                if k:
-                    stack.append((child, depth + 1, k))
+            for c, child in node.items():
+                if c:
+                    stack.append((child, depth + 1, (tail + c)[-longest:]))
                 else:
-                    out[child] = best[depth][1]
+                    out[child] = best[depth] & 0xFFFFFFFF
         return out
 
 
