@@ -1,12 +1,13 @@
 """Quality rules: base heuristics, and a hashed n-gram log-likelihood ratio of trusted against raw text.
 
 Native: DataFrame functions only. Words and pairs of neighbouring words are hashed into buckets. Two multinomials are
-counted over all documents: the trusted one over documents labelled good, the raw one over everything. A document's
+counted over all distinct texts: the trusted one over texts labelled good, the raw one over everything. A document's
 score is the mean of ln p_trusted(bucket) - ln p_raw(bucket) over its n-grams, so it does not depend on length. Every
 document is kept or rejected by comparing the score with one fixed threshold; nothing is sampled.
 
 Defined results: a null or empty text has no words, scores 0 and fails the base rules; a null doc_id is judged like
-any other and is never trusted; repeated rows are judged alike, and each counts in the raw model; without labelled
+any other and has no label; rows of one text are judged alike and count once in both models, trusted if a row of them is
+labelled and no label of them is bad; without labelled
 documents the trusted model is the raw one and every score is 0; an empty table gives an empty result; of further
 columns none is read.
 """
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, small, words
+from quarry.llm.common import joined, let, small, stored, words
 
 BUCKETS = 16384
 #: Occurrences that each bucket is taken to have besides its own, as likely trusted as the corpus at large: a bucket
@@ -26,8 +27,10 @@ BUCKETS = 16384
 PRIOR = 100.0
 #: Nats an n-gram below which a document is rejected.
 THRESHOLD = -0.04
-#: Trusted ids up to this number are broadcast (16 MB); more are joined by shuffle.
+#: Labelled ids up to this number are broadcast (16 MB); more are joined by shuffle.
 TRUSTED_ROWS = 1_000_000
+#: Repeated or trusted texts up to this number are broadcast (20 MB, two hashes a text); more are joined by shuffle.
+TEXT_ROWS = 250_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -39,15 +42,21 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, prior: float = PRIOR) -> list[float]:
-    """ln p_trusted - ln p_raw for each bucket, from counts over all documents, both smoothed by the same prior.
+    """ln p_trusted - ln p_raw for each bucket, from counts over all distinct texts, both smoothed by the same prior.
 
-    Trusted are documents all of whose labels have quality 1. The counts are pre-aggregated to ``n`` rows a task; the
-    driver gets the ``n`` totals.
+    Trusted are texts all of whose labels have quality 1. A text with c rows adds c times its n-grams to the counts of
+    the texts with c rows, which are then divided by c without a remainder; so no text is moved to count it once. The
+    counts are pre-aggregated in each task; the driver gets the ``n`` totals.
     """
-    trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id", F.lit(1).alias("t"))
-    side = F.broadcast(trusted) if small(trusted, TRUSTED_ROWS) else trusted.hint("merge")
-    grams = docs.select("doc_id", "text").join(side, "doc_id", "left").select("t", F.explode(let(words(F.col("text")), lambda w: buckets(w, n))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("t").alias("good")).collect()
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"))
+    side = F.broadcast(said) if small(said, TRUSTED_ROWS) else said.hint("merge")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("k"))
+    texts = keyed.drop("text").join(side, "doc_id", "left").groupBy("h", "k").agg(F.count("*").alias("c"), F.min("q").alias("q"))
+    texts = stored(texts.where("c > 1 or q = 1").select("h", "k", "c", F.when(F.col("q") == 1, 1).alias("t")), "quality-texts")
+    rows = joined(keyed.drop("doc_id"), texts, ["h", "k"], "left", rows=TEXT_ROWS)
+    grams = rows.select(F.coalesce("c", F.lit(1).cast("long")).alias("c"), "t", F.explode(let(words(F.col("text")), lambda w: buckets(w, n))).alias("b"))
+    by_copies = grams.groupBy("b", "c").agg(F.count("*").alias("raw"), F.count("t").alias("good"))
+    counts = by_copies.groupBy("b").agg(F.sum(F.expr("raw div c")).alias("raw"), F.sum(F.expr("good div c")).alias("good")).collect()
     raw, good = [0] * n, [0] * n
     for b, r, g in counts:
         raw[b], good[b] = r, g

@@ -66,6 +66,21 @@ def test_quality_odd_rows(spark, odd):
     assert all(r["score"] == 0.0 for r in quality.judge(odd, labels.where("false")).collect())
 
 
+def test_quality_counts_equal_texts_once(spark, documents):
+    draw = random.Random(3)
+    text = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+    rows = [(k, text(200)) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 200)] + [(1, 1), (900, 0)], "doc_id long, quality int")
+    copies = [(1000 + k, rows[0][1]) for k in range(300)] + [rows[1]] * 5 + [(901, rows[1][1]), (None, rows[2][1])]
+    once = {r["doc_id"]: r for r in quality.judge(documents(rows), labels).collect()}
+    got = quality.judge(documents(rows + copies), labels).collect()
+    assert len(got) == len(rows + copies) and all(r["kept"] for r in got)
+    assert all(r["score"] == once[r["doc_id"]]["score"] for r in got if r["doc_id"] in once)
+    # a text one of whose rows is labelled bad is not trusted
+    mixed = {r["doc_id"]: r["score"] for r in quality.judge(documents([*rows, (900, rows[5][1])]), labels).collect()}
+    assert mixed[900] == mixed[5] < once[5]["score"]
+
+
 def test_sharding_law(spark, documents):
     rows = [(k * 7 - 30, "é" * (k % 50)) for k in range(3000)] + [(5, None), (5, "x"), (None, "y")]
     out = sharding.assign(documents(rows)).collect()
