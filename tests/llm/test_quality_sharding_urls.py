@@ -81,6 +81,33 @@ def test_quality_counts_equal_texts_once(spark, documents):
     assert mixed[900] == mixed[5] < once[5]["score"]
 
 
+def test_quality_verdicts_hang_on_proportions_only(spark, documents, tmp_path):
+    from quarry.llm.queries import op6_quality_rules
+
+    draw = random.Random(4)
+    text = lambda k: " ".join(f"{'w' if k % 3 else 'x'}{draw.randrange(40)}" for _ in range(60))
+    rows = [(k, text(k)) for k in range(60)]
+    verdicts = []
+    for times in (1, 20):
+        # The same words with other spaces: other texts, so that all counts are multiplied.
+        many = [(k + 1000 * x, t.replace(" ", " " * (x + 1))) for k, t in rows for x in range(times)]
+        documents(many).write.parquet(f"{tmp_path}/{times}/documents.parquet")
+        good = [(i, 1) for i, _ in many if i % 1000 % 3 and i % 1000 < 30]
+        spark.createDataFrame(good, "doc_id long, quality int").write.parquet(f"{tmp_path}/{times}/labels.parquet")
+        verdicts.append({r["doc_id"]: (r["kept"], r["score"]) for r in op6_quality_rules(spark, f"{tmp_path}/{times}").collect()})
+    one, more = verdicts
+    assert all(more[i] == (one[i % 1000][0], pytest.approx(one[i % 1000][1], abs=2e-6)) for i in more)
+    assert {k for k, _ in one.values()} == {True, False}
+
+
+def test_quality_keeps_clean_texts_with_few_labels(spark, documents):
+    draw = random.Random(5)
+    common = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(draw.choice(common) if draw.random() < 0.5 else f"v{draw.randrange(20000)}" for _ in range(100))) for k in range(1500)]
+    labels = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
+    assert quality.kept_only(documents(rows), labels).count() == len(rows)
+
+
 def test_sharding_law(spark, documents):
     rows = [(k * 7 - 30, "é" * (k % 50)) for k in range(3000)] + [(5, None), (5, "x"), (None, "y")]
     out = sharding.assign(documents(rows)).collect()
