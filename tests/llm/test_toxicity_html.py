@@ -88,6 +88,21 @@ def test_wrapper_without_article_element(spark):
     assert out == {k: f"Story {k * 7} goes on and on, number {k * 7}.\nMore of {k * 7}" for k in range(8)}
 
 
+def test_nested_containers_are_kept_whole(spark):
+    lead = "<body><div>Menu</div><article><h1>Title {k}</h1><p>Lead {k}</p><div class='entry-content'><p>{long}</p></div></article></body>"
+    split = "<body><div>Menu</div><div><section><p>{long}</p></section><section><p>Second part {k}</p></section></div></body>"
+    two = "<body><div>Menu</div><article><p>{long}</p></article><article><p>Other {k}</p></article></body>"
+    long = lambda k: f"Story {k} goes on. " * 9 + "End"
+    fill = lambda page, k: page.replace("{k}", str(k)).replace("{long}", long(k))
+    pages = [(k, f"http://{h}.org/{k}", fill(page, k)) for h, page in (("lead", lead), ("split", split)) for k in range(6)]
+    pages += [(0, "http://alone.org/", fill(two, 0))]
+    got = {(r["url"]): r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[f"http://lead.org/{k}"] == f"Title {k}\nLead {k}\n{long(k)}"
+        assert got[f"http://split.org/{k}"] == f"{long(k)}\nSecond part {k}"
+    assert got["http://alone.org/"] == f"{long(0)}\nOther 0"
+
+
 def brute_match(a, b):
     if a.tag != b.tag or a.furniture != b.furniture:
         return 0
