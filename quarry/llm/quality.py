@@ -126,7 +126,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     return measured(docs.select("doc_id", "text"), ratios).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def kept_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS, prior: float | None = None) -> DataFrame:
+def kept_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS, prior: float | None = PRIOR) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; nothing is shuffled."""
     own = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text")

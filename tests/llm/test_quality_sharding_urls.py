@@ -105,7 +105,7 @@ def test_quality_keeps_clean_texts_with_few_labels(spark, documents):
     common = [f"w{k}" for k in range(30)]
     rows = [(k, " ".join(draw.choice(common) if draw.random() < 0.5 else f"v{draw.randrange(20000)}" for _ in range(100))) for k in range(1500)]
     labels = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
-    assert quality.kept_only(documents(rows), labels).count() == len(rows)
+    assert quality.kept_only(documents(rows), labels, prior=None).count() == len(rows)
 
 
 def test_sharding_law(spark, documents):
