@@ -11,10 +11,13 @@ How the work is dealt out without all pairs:
 1. Two sets with Jaccard >= t share at least k of the first n - ceil(t n) + k hashes of each, in order of hash. Classes
    that share fewer of these with classes of fitting size are linked with nothing and drop out.
 2. Rounds of leaders: the rest is dealt by a min-hash. In a group, in order of size, each class is verified against
-   the leaders that the R-tree gives; linked ones follow, others become leaders. Large groups are salted. This links
-   most of what is alike, at a cost in proportion to the classes.
-3. The exact round: classes that share a hash of step 1 and are not connected yet are paired through an R-tree for each
-   hash; the pairs that pass the bound are verified. So no link between components is lost.
+   the leaders that the R-tree gives; linked ones follow, others become leaders. Large groups are salted, and met again
+   by the leaders that are left. This links most of what is alike, at a cost in proportion to the classes.
+3. The exact round: the hashes of step 1 that classes of different components share are put together by the least
+   class that has them. A class thus meets the others once for each such class, not once for each hash. Every such
+   neighbourhood has its R-tree; pairs that pass the bound are verified at once and only links that connect what the
+   neighbourhood had not connected yet are handed on, fewer than it has classes. Neighbourhoods of over CELL shingles
+   are cut into parts, and each two parts of fitting sizes meet in a task of their own. No link between components is lost.
 
 Defined results: a null text has an empty set; empty sets are linked with nothing and are their own component; texts
 of fewer than 5 words are one shingle; repeated texts are one class; a null doc_id never names a component (a row
@@ -34,16 +37,20 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import bounded, byte_list, chunks
 from quarry.llm.common import joined, stored
-from quarry.operators.components import components
 from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, mixed, shared
+from quarry.operators.components import components
 
 SHINGLE, PERCENT, FAN = 5, 80, 32
-#: Groups of hashes: a power of two from the least to the most, at least this share of a set's size.
-LEAST_GROUPS, MOST_GROUPS, SHARE = 64, 32768, 0.08
+#: Groups of hashes: a power of two from the least to the most, at least a set's size between.
+LEAST_GROUPS, MOST_GROUPS = 64, 32768
 #: Hashes by which prefixes are longer than they had to be, in percent of the set, so that more of them must agree.
 EXTRA = 5
-#: Orders of hashes for the rounds of leaders, and classes in a group above which it is salted.
-ORDERS, SALTED = (0, 0x5DEECE66D1234567), 4096
+#: Orders of hashes for the rounds of leaders, classes in a group above which it is salted, and rounds of an order at most.
+ORDERS, SALTED, ROUNDS = (0, 0x5DEECE66D1234567), 512, 3
+#: Shingles in a neighbourhood of the exact round above which it is cut into parts, of half as many each.
+CELL = 2_000_000
+#: Classes that a task remembers in order to hand each on once.
+CLASSES_KEPT = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -67,7 +74,7 @@ def shingle_sets(texts: list[bytes], known: WordHashes, width: int = SHINGLE) ->
 
 def groups_for(size: int) -> int:
     """The groups that a set of that size is counted in."""
-    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, int(SHARE * size)).bit_length()))
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << size.bit_length()))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -76,17 +83,6 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def packed_point(shingles: np.ndarray) -> bytes:
-    """A point in one byte a group, or in four if a count needs them."""
-    counts = point(shingles)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else counts.tobytes()
-
-
-def unpacked_point(raw: bytes, size: int) -> np.ndarray:
-    wide = len(raw) > groups_for(size)
-    return np.frombuffer(raw, dtype=np.int32 if wide else np.uint8).astype(np.int32)
-
-
 def octave_of(size: int) -> int:
     """Sizes whose quotient is 100 / PERCENT at most lie in the same octave or in neighbours."""
     return int(math.floor(math.log(size) / math.log(100 / PERCENT) + 1e-9))
@@ -133,13 +129,16 @@ class CountTree:
 
     def __init__(self, groups: int):
         self.sizes = np.zeros(FAN, dtype=np.int64)
+        #: A mark of each point, such as the component that it is in.
+        self.marks = np.zeros(FAN, dtype=np.int64)
         self.levels = [np.zeros((FAN, groups), dtype=np.int32)]
         self.n = 0
 
-    def append(self, counts: np.ndarray, size: int) -> None:
+    def append(self, counts: np.ndarray, size: int, mark: int = 0) -> None:
         if self.n == len(self.sizes):
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.sizes[self.n] = size
+            self.marks = np.concatenate([self.marks, np.zeros_like(self.marks)])
+        self.sizes[self.n], self.marks[self.n] = size, mark
         node, level = self.n, 0
         while True:
             if level == len(self.levels):  # a root above: it holds what the old root had
@@ -154,8 +153,9 @@ class CountTree:
             node, level = node // FAN, level + 1
         self.n += 1
 
-    def query(self, counts: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Points of no larger size whose overlap with ``counts`` may be enough for the similarity."""
+    def query(self, counts: np.ndarray, size: int, percent: int = PERCENT, other_than: int | None = None) -> np.ndarray:
+        """Points of no larger size whose overlap with ``counts`` may be enough for the similarity, but for those of
+        the mark ``other_than``."""
         low = int(np.searchsorted(self.sizes[: self.n], -(-percent * size // 100)))
         if low >= self.n:
             return np.empty(0, dtype=np.int64)
@@ -163,6 +163,8 @@ class CountTree:
         span = FAN**level
         nodes = np.arange(low // span, (self.n - 1) // span + 1)
         while True:
+            if level == 0 and other_than is not None:
+                nodes = nodes[self.marks[nodes] != other_than]
             # common >= percent / (100 + percent) * (both sizes)
             least = self.sizes[np.maximum(nodes * span, low)]
             bound = np.minimum(self.levels[level][nodes], counts).sum(axis=1, dtype=np.int64)
@@ -174,11 +176,11 @@ class CountTree:
             nodes = nodes[((nodes + 1) * span > low) & (nodes * span < self.n)]
 
 
-SIGNED = "doc_id long, n_shingles int, class long, prefix binary, counts binary, head0 long, head1 long"
+SIGNED = "doc_id long, n_shingles int, class long, prefix binary, head0 long, head1 long"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), prefix, counts and min-hashes of every document."""
+    """doc_id, n_shingles, class (null for an empty set), prefix and min-hashes of every document."""
 
     def run(batches):
         known = WordHashes()
@@ -190,10 +192,9 @@ def signed(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([prefix(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([packed_point(s) for s in sets], pa.binary()),
                     *[pa.array([head(s, order) for s in sets], pa.int64()) for order in ORDERS],
                 ],
-                ["doc_id", "n_shingles", "class", "prefix", "counts", "head0", "head1"],
+                ["doc_id", "n_shingles", "class", "prefix", "head0", "head1"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
@@ -220,11 +221,19 @@ def sharing(signs: DataFrame) -> DataFrame:
     buckets = bucket_count(signs)
 
     def post(batches):
-        packer = Packer(buckets)
+        packer, seen = Packer(buckets), set()
         for batch in batches:
-            parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
-            sizes = np.array([len(x) for x in parts])
-            if len(parts):
+            new = []
+            for k, c in enumerate(batch.column("class").to_pylist()):
+                if c not in seen:  # of the copies that a task has, one
+                    seen.add(c)
+                    new.append(k)
+            if len(seen) > CLASSES_KEPT:
+                seen.clear()
+            if new:
+                batch = batch.take(pa.array(new))
+                parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
+                sizes = np.array([len(x) for x in parts])
                 owners = np.repeat(batch.column("class").to_numpy(zero_copy_only=False), sizes)
                 yield from packer.add(np.concatenate(parts), owners, np.repeat(batch.column("n_shingles").to_numpy(), sizes))
         yield from packer.flush()
@@ -233,21 +242,21 @@ def sharing(signs: DataFrame) -> DataFrame:
     return shared(rows.mapInArrow(post, PACKED_SCHEMA), fitting)
 
 
-def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``classes`` (class, rep, ...) with the text of the document that stands for each, instead of its id."""
-    wanted = classes.withColumnRenamed("rep", "doc_id")
-    return joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").drop("doc_id")
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (a stored table with rep, the document that stands for a class) with the text instead of the id."""
+    return joined(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep").drop("rep")
 
 
-def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> DataFrame:
-    """(a, b): links of followers to their leaders, among classes (class, rep, n, min-hashes) of one min-hash ``order``.
+def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> tuple[DataFrame, bool]:
+    """(a, b): links of followers to their leaders, among classes (class, rep, n, min-hashes) of one min-hash ``order``;
+    and whether groups were salted.
 
     Only texts of classes that have company are read; groups of more than SALTED classes are split by a salt.
     """
-    company = classes.groupBy(F.col(order).alias("head")).agg(F.count("*").alias("size")).where("size > 1")
-    salt = F.pmod("class", F.ceil(F.col("size") / SALTED)).cast("int")
+    company = stored(classes.groupBy(F.col(order).alias("head")).agg(F.count("*").alias("size")).where("size > 1"), "jaccard-company")
+    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / SALTED)).cast("int")
     dealt = joined(classes.withColumnRenamed(order, "head"), company, "head").select("class", "rep", "head", salt.alias("salt"), "n")
-    dealt = class_texts(docs, dealt)
+    dealt = with_texts(docs, stored(dealt, "jaccard-dealt"))
 
     def follow(batches):
         known, group = WordHashes(), None
@@ -274,56 +283,100 @@ def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> DataFra
                         trees[o][1].append((c, s))
             yield pa.RecordBatch.from_arrays([pa.array(followers, pa.int64()), pa.array(leaders, pa.int64())], ["a", "b"])
 
-    return dealt.repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "n", "class").mapInArrow(follow, "a long, b long")
+    links = dealt.repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "n", "class").mapInArrow(follow, "a long, b long")
+    return stored(links, "jaccard-links"), not company.where(F.col("size") > SALTED).isEmpty()
+
 
+def neighbourhoods(active: DataFrame, asked: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, owner, n, rep, root): for each hash (``active``: key, owner) that classes of different components share, its
+    owners meet at the least of them, the hub; once however many hashes have that hub."""
+    placed = joined(active, asked.select(F.col("class").alias("owner"), "n", "rep"), "owner")
+    placed = joined(placed, roots.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
+    placed = stored(placed, "jaccard-placed")
+    hubs = placed.groupBy("key").agg(F.min("owner").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "hub")
+    return placed.join(hubs.hint("merge"), "key").select("hub", "owner", "n", "rep", "root").distinct()
 
-def open_pairs(active: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): classes that share a hash, are in different components and pass the bound of the R-tree.
 
-    Work is dealt by hash and by octave of size (a factor of 100 / PERCENT); a class also enters the next octave, for
-    larger ones to find, so that a hash that very many classes share is split up.
+def cells(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows (a stored table: hub, owner, n, rep, root) with the cells that they go to: hub, cell, side.
+
+    A hub with ``most`` shingles or fewer is one cell, all of side 0, who meet one another. A larger one is cut by
+    octave of size (a factor of 100 / PERCENT) and by hash into parts of half as many. A part is a cell of its own, and
+    so are each two parts of one octave or of neighbouring ones; there, side 1 meets side 2.
     """
-    placed = joined(active, roots.select(F.col("node").alias("owner"), "root"), "owner", "left").select("key", "owner", F.coalesce("root", "owner").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rows = placed.join(mixed_keys.hint("merge"), "key", "left_semi").join(points.withColumnRenamed("class", "owner").hint("merge"), "owner")
+    most = CELL if most is None else most
     octave = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT)) + 1e-9).cast("int")
-    dealt = rows.withColumn("o", octave).select("key", "owner", "root", "n", "counts", F.explode(F.array(F.struct(F.col("o").alias("octave"), F.lit(True).alias("asks")), F.struct((F.col("o") + 1).alias("octave"), F.lit(False).alias("asks")))).alias("p"))
-    dealt = dealt.select("key", "p.octave", "n", "owner", "p.asks", "root", "counts")
-
-    def pair(batches):
-        group = None
-        for batch in batches:
+    rows = rows.withColumn("o", octave)
+    loads = rows.groupBy("hub", "o").agg(F.sum("n").alias("load"))
+    # A hub has as many loads as sizes have octaves.
+    hubs = loads.groupBy("hub").agg(F.sum("load").alias("whole"), F.map_from_entries(F.collect_list(F.struct("o", F.ceil(F.col("load") / (most / 2)).cast("int").alias("parts")))).alias("parts"))
+    large = stored(hubs.where(F.col("whole") > most).select("hub", "parts"), "jaccard-hubs")
+    rows = joined(rows, large, "hub", "left")
+    parts = lambda o: F.coalesce(F.try_element_at("parts", o), F.lit(0))
+    each = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(F.array().cast("array<struct<cell:string,side:int>>"))
+    cell = lambda o, i, p, j, side: F.struct(F.concat_ws("/", o, i, p, j).alias("cell"), side.cast("int").alias("side"))
+    o, i = F.col("o"), F.col("i")
+    rows = rows.withColumn("i", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("owner"), parts(o)).cast("int")))
+    same = each(parts(o), lambda j: cell(o, F.least(i, j), o, F.greatest(i, j), F.when(i == j, 0).when(i < j, 1).otherwise(2)))
+    above = each(parts(o + 1), lambda j: cell(o, i, o + 1, j, F.lit(1)))
+    below = each(parts(o - 1), lambda j: cell(o - 1, j, o, i, F.lit(2)))
+    whole = F.array(F.struct(F.lit("").alias("cell"), F.lit(0).alias("side")))
+    dealt = rows.withColumn("at", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.concat(same, above, below))))
+    return dealt.select("hub", "at.cell", "at.side", "owner", "n", "rep", "root")
+
+
+class Cell:
+    """The classes of a cell that came so far, by side and octave, and which components they have turned out to be."""
+
+    def __init__(self):
+        self.trees: dict[tuple[int, int], tuple[CountTree, list]] = {}
+        self.now: dict[int, int] = {}
+
+    def add(self, owner: int, side: int, root: int, s: np.ndarray) -> list[int]:
+        """Takes a class in; returns classes that it is linked with, one for each component that was another before."""
+        counts, octave, out = point(s), octave_of(len(s)), []
+        mark = self.now.setdefault(root, root)
+        met = self.trees.get((3 - side if side else 0, octave))
+        if met:
+            tree, members = met
+            for k in tree.query(folded(counts, octave_groups(octave)), len(s), other_than=mark).tolist():
+                if (other := int(tree.marks[k])) != mark and alike(s, members[k][1]):
+                    out.append(members[k][0])
+                    for r, m in self.now.items():
+                        if m == other:
+                            self.now[r] = mark
+                    for t, _ in self.trees.values():
+                        t.marks[: t.n][t.marks[: t.n] == other] = mark
+        for o in (octave, octave + 1):
+            if (side, o) not in self.trees:
+                self.trees[side, o] = CountTree(octave_groups(o)), []
+            tree, members = self.trees[side, o]
+            tree.append(folded(counts, octave_groups(o)), len(s), mark)
+            members.append((owner, s))
+        return out
+
+
+def cell_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(a, b): links that connect components, found in each cell of ``dealt`` (a stored table)."""
+
+    def meet(batches):
+        known, group = WordHashes(), None
+        for batch in chunks(batches):
+            sets = shingle_sets(byte_list(batch), known)
             a, b = [], []
-            for key, octave_, n, c, asks, root, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                if (key, octave_) != group:
-                    group, groups, met = (key, octave_), octave_groups(octave_), []
-                    tree = CountTree(groups)
-                counts = folded(unpacked_point(raw, n), groups)
-                if asks:
-                    for k in tree.query(counts, n).tolist():
-                        if met[k][1] != root:
-                            a.append(max(c, met[k][0]))
-                            b.append(min(c, met[k][0]))
-                tree.append(counts, n)
-                met.append((c, root))
+            for hub, name, side, owner, root, s in zip(*(batch.column(x).to_pylist() for x in ("hub", "cell", "side", "owner", "root")), sets):
+                if (hub, name) != group:
+                    group, cell, last = (hub, name), Cell(), None
+                if owner == last or not len(s) or set_class(s) != owner:
+                    continue  # another row of the same id
+                last = owner
+                for other in cell.add(owner, side, root, s):
+                    a.append(owner)
+                    b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition(F.col("key"), F.col("octave")).sortWithinPartitions("key", "octave", "n", "owner").mapInArrow(pair, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike; ``texts`` has class and text, each class once."""
-
-    def check(batches):
-        known = WordHashes()
-        for batch in batches:
-            for part in chunks([batch], "x"):
-                x, y = shingle_sets(byte_list(part, "x"), known), shingle_sets(byte_list(part, "y"), known)
-                yield part.select(["a", "b"]).filter(pa.array([alike(s, t) for s, t in zip(x, y)], pa.bool_()))
-
-    left = texts.select(F.col("class").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("class").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    rows = with_texts(docs, dealt).select("hub", "cell", "n", "owner", "side", "root", "text")
+    return rows.repartition(F.col("hub"), F.col("cell")).sortWithinPartitions("hub", "cell", "n", "owner").mapInArrow(meet, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -334,36 +387,25 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
     classes = stored(classes, "jaccard-classes")
     active = stored(sharing(signs), "jaccard-active")
-    met = active.groupBy(F.col("owner").alias("class")).agg(F.count("*").alias("met"))
+    met = stored(active.groupBy(F.col("owner").alias("class")).agg(F.count("*").alias("met")), "jaccard-met")
     asked = stored(joined(classes.where("rep is not null"), met, "class").where(F.col("met") >= least_shared(F.col("n").cast("long")).cast("long")).drop("met"), "jaccard-asked")
-    active = joined(active, asked.select(F.col("class").alias("owner")), "owner", "left_semi")
     edges, left = None, asked
     for order in heads:
-        links = stored(round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order), "jaccard-links")
-        edges = links if edges is None else edges.unionByName(links)
-        left = joined(left, links.select(F.col("a").alias("class")).distinct(), "class", "left_anti")
-    roots = components(edges)
-    points = signs.join(asked.select("class", F.col("rep").alias("doc_id")).hint("merge"), ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "counts").dropDuplicates(["class"])
-    pairs = stored(open_pairs(active, points, roots), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = _one_each(class_texts(docs, joined(classes.select("class", "rep"), ends, "class", "left_semi")))
-    more = stored(verified(pairs, texts), "jaccard-links")
+        for _ in range(ROUNDS):
+            links, salted = round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order)
+            edges = links if edges is None else edges.unionByName(links)
+            followers = stored(links.select(F.col("a").alias("class")).distinct(), "jaccard-followers")
+            left = stored(joined(left, followers, "class", "left_anti"), "jaccard-left")
+            if not salted or links.isEmpty():
+                break
+    roots = stored(components(edges), "jaccard-roots")
+    dealt = stored(cells(stored(neighbourhoods(active, asked, roots), "jaccard-rows")), "jaccard-cells")
+    more = stored(cell_links(docs, dealt), "jaccard-links")
     # Components found so far count as links of their nodes to their roots.
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "jaccard-roots")
     named = joined(classes.select("class", "rep"), roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = joined(named, name, "root").select("class", "component_id")
+    # Only components of two classes or more have to be named; others have the name of their one class.
+    name = stored(joined(named, roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("name")), "jaccard-names")
+    of_class = stored(joined(named, name, "root", "left").select("class", F.coalesce("name", "rep").alias("component_id")), "jaccard-components")
     out = joined(signs.select("doc_id", "n_shingles", "class"), of_class, "class", "left")
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _one_each(texts: DataFrame) -> DataFrame:
-    """One text a class, the one that has the class's set."""
-
-    def right(batches):
-        known = WordHashes()
-        for batch in chunks(batches):
-            sets = shingle_sets(byte_list(batch), known)
-            yield batch.filter(pa.array([bool(len(s)) and set_class(s) == c for s, c in zip(sets, batch.column("class").to_pylist())], pa.bool_()))
-
-    return texts.select("class", "text").mapInArrow(right, "class long, text string").dropDuplicates(["class"])

@@ -182,6 +182,44 @@ def test_jaccard_exact_round_finds_what_leaders_miss(spark, documents, tmp_path,
     assert got == brute_components(rows)
 
 
+def test_jaccard_neighbourhoods_in_parts(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALTED", 2)
+    monkeypatch.setattr(jaccard, "CELL", 300)
+    rows = [*enumerate(near_copies(9)), (5000, "one two three four"), (5001, "one two three four")]
+    got = sorted((tuple(r) for r in queries.op5_ngram_jaccard(spark, write(spark, tmp_path, documents, rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_jaccard_cells_let_all_fitting_pairs_meet(spark):
+    draw = random.Random(10)
+    rows = [(h, 100 * h + k, draw.randint(20, 60), k, 100 * h + k) for h in range(3) for k in range(10 * h + 2)]
+    frame = spark.createDataFrame(rows, "hub long, owner long, n long, rep long, root long")
+    met = {}
+    for r in jaccard.cells(frame, most=250).collect():
+        met.setdefault((r["hub"], r["cell"]), []).append((r["owner"], r["side"]))
+    assert len(met) > 20
+    pairs = {frozenset([x, y]) for v in met.values() for x, p in v for y, q in v if x != y and (p, q) in ((0, 0), (1, 2), (2, 1))}
+    fit = {frozenset([x[1], y[1]]) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2])}
+    assert fit <= pairs
+
+
+def test_jaccard_hands_on_fewer_links_than_classes(spark, documents):
+    """Copies of one text with a few words changed: each class of a neighbourhood costs one link at most."""
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(draw.randint(2, 5)):
+            w[draw.randrange(300)] = f"x{draw.randrange(9999)}"
+        texts.append(" ".join(w).encode())
+    cell, links = jaccard.Cell(), 0
+    for k, s in enumerate(sorted(jaccard.shingle_sets(texts, jaccard.WordHashes()), key=len)):
+        links += len(cell.add(k, 0, k, s))
+    linked = [g for _, _, g in brute_components([(k, t.decode()) for k, t in enumerate(texts)])]
+    assert links == 60 - len(set(linked)) and links > 5
+
+
 def test_count_tree():
     draw = np.random.default_rng(9)
     sets = sorted((np.unique(draw.integers(0, 2**63, draw.integers(1, 200)).astype(np.uint64)) for _ in range(3000)), key=len)
@@ -192,6 +230,8 @@ def test_count_tree():
             got = set(tree.query(p, len(s)).tolist())
             bound = np.minimum(np.array(points[:k]), p).sum(axis=1)
             sizes = np.array([len(x) for x in sets[:k]])
+            tree.marks[:k] = np.arange(k) % 3
+            assert set(tree.query(p, len(s), other_than=1).tolist()) == {x for x in got if x % 3 != 1}
             assert got == set(np.flatnonzero((180 * bound >= 80 * (sizes + len(s))) & (100 * sizes >= 80 * len(s))).tolist())
         tree.append(p, len(s))
 
