@@ -53,16 +53,24 @@ def bucket_count(df: DataFrame) -> int:
 
 
 PACKED_SCHEMA = "bucket int, keys binary, owners binary, sizes binary"
+#: Bytes of a fingerprint that are handed on, its highest ones; with the bucket they tell fingerprints apart.
+KEY_BYTES = 5
+
+
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Fingerprints as handed on: the highest KEY_BYTES bytes, and the bucket. That two fingerprints become one is rare,
+    and only lets owners meet that need not."""
+    return ((keys >> np.uint64(64 - 8 * KEY_BYTES)) << np.uint64(23) | keys % np.uint64(buckets)).view(np.int64)
 
 
 class Packer:
-    """Collects (fingerprint, owner, size) and hands them on as one row of packed integers for each bucket."""
+    """Collects (fingerprint, owner, size below 2**16) and hands them on as one row of packed integers for each bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.n = buckets, [], 0
 
     def add(self, keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((keys.astype(np.uint64), owners.astype(np.int64), sizes.astype(np.int32)))
+        self.parts.append((keys.astype(np.uint64), owners.astype(np.int64), sizes.astype(np.uint16)))
         self.n += len(keys)
         if self.n >= PACKED:
             yield from self.flush()
@@ -74,14 +82,22 @@ class Packer:
         self.parts, self.n = [], 0
         bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        keys, owners, sizes = keys[order], owners[order], sizes[order]
+        owners, sizes = owners[order], sizes[order]
+        keys = (keys[order] >> np.uint64(64 - 8 * KEY_BYTES)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
         at = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         rows = [(b, keys[x:y].tobytes(), owners[x:y].tobytes(), sizes[x:y].tobytes()) for b, (x, y) in enumerate(zip(at, at[1:])) if y > x]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["bucket", "keys", "owners", "sizes"])
 
 
+def unpacked(raw: bytes) -> np.ndarray:
+    """The packed bytes of fingerprints as integers."""
+    out = np.zeros((len(raw) // KEY_BYTES, 8), dtype=np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view(np.uint64)
+
+
 def shared(packed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The (key, owner) of fingerprints that two or more owners have, each once.
+    """The (key, owner) of fingerprints that two or more owners have, each once; keys are ``short``.
 
     ``near``: tells from the sizes of two neighbours, in order of size, whether they may belong together; an owner is
     returned only if it has such a neighbour.
@@ -89,7 +105,8 @@ def shared(packed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarra
 
     def find(table: pa.Table) -> pa.Table:
         joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
-        keys, owners, sizes = joined("keys", np.uint64), joined("owners", np.int64), joined("sizes", np.int32)
+        keys, owners, sizes = unpacked(b"".join(table.column("keys").to_pylist())), joined("owners", np.int64), joined("sizes", np.uint16)
+        bucket = np.uint64(table.column("bucket")[0].as_py() if table.num_rows else 0)
         order = np.lexsort((owners, sizes, keys))
         keys, owners, sizes = keys[order], owners[order], sizes[order]
         if len(keys):
@@ -101,6 +118,6 @@ def shared(packed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarra
         kept = np.zeros(len(keys), dtype=bool)
         kept[1:] |= pair
         kept[:-1] |= pair
-        return pa.table({"key": pa.array(keys[kept].view(np.int64)), "owner": pa.array(owners[kept])})
+        return pa.table({"key": pa.array((keys[kept] << np.uint64(23) | bucket).view(np.int64)), "owner": pa.array(owners[kept])})
 
     return packed.groupBy("bucket").applyInArrow(find, "key long, owner long")

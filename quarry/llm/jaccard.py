@@ -15,13 +15,15 @@ How the work is dealt out without all pairs:
    by the leaders that are left. This links most of what is alike, at a cost in proportion to the classes.
 3. The exact round: the hashes of step 1 that classes of different components share are put together by the least
    class that has them. A class thus meets the others once for each such class, not once for each hash. Every such
-   neighbourhood has its R-tree; pairs that pass the bound are verified at once and only links that connect what the
-   neighbourhood had not connected yet are handed on, fewer than it has classes. Neighbourhoods of over CELL shingles
-   are cut into parts, and each two parts of fitting sizes meet in a task of their own. No link between components is lost.
+   neighbourhood has its R-tree over points; classes for which no class of another component passes the bound drop out.
+   The sets of the rest meet in the same neighbourhoods: pairs that pass the bound are verified at once and only links
+   that connect what the neighbourhood had not connected yet are handed on, fewer than it has classes. Neighbourhoods of
+   over CELL shingles are cut into parts, and each two parts of fitting sizes meet in a task of their own. No link
+   between components is lost.
 
 Defined results: a null text has an empty set; empty sets are linked with nothing and are their own component; texts
-of fewer than 5 words are one shingle; repeated texts are one class; a null doc_id never names a component (a row
-that has nothing but null ids has a null component); an empty table gives an empty result; further columns are not
+of fewer than 5 words are one shingle; repeated texts are one class; rows with a null doc_id are linked like others,
+but a null never names a component (one that has nothing but null ids has a null name); an empty table gives an empty result; further columns are not
 read. Hashes of 64 bits stand for shingles and sets: about N^2 / 2^65 of N documents would be mistaken.
 """
 
@@ -41,8 +43,10 @@ from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_co
 from quarry.operators.components import components
 
 SHINGLE, PERCENT, FAN = 5, 80, 32
-#: Groups of hashes: a power of two from the least to the most, at least a set's size between.
+#: Groups of hashes: a power of two from the least to the most, at least twice a set's size between.
 LEAST_GROUPS, MOST_GROUPS = 64, 32768
+#: Sizes are handed on as logarithms in steps of this factor.
+STEP = 1.002
 #: Hashes by which prefixes are longer than they had to be, in percent of the set, so that more of them must agree.
 EXTRA = 5
 #: Orders of hashes for the rounds of leaders, classes in a group above which it is salted, and rounds of an order at most.
@@ -74,7 +78,7 @@ def shingle_sets(texts: list[bytes], known: WordHashes, width: int = SHINGLE) ->
 
 def groups_for(size: int) -> int:
     """The groups that a set of that size is counted in."""
-    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << size.bit_length()))
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 2 << size.bit_length()))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -83,6 +87,18 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed_point(shingles: np.ndarray) -> bytes:
+    """A point as one bit a group, and the groups of all shingles but the first of each group."""
+    counts = point(shingles)
+    return np.packbits(counts > 0).tobytes() + np.repeat(np.arange(len(counts), dtype=np.uint16), np.maximum(counts - 1, 0)).tobytes()
+
+
+def unpacked_point(raw: bytes, size: int) -> np.ndarray:
+    groups = groups_for(size)
+    more = np.frombuffer(raw, dtype=np.uint16, offset=groups // 8)
+    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=groups // 8)).astype(np.int32) + np.bincount(more, minlength=groups).astype(np.int32)
+
+
 def octave_of(size: int) -> int:
     """Sizes whose quotient is 100 / PERCENT at most lie in the same octave or in neighbours."""
     return int(math.floor(math.log(size) / math.log(100 / PERCENT) + 1e-9))
@@ -128,11 +144,11 @@ class CountTree:
     """
 
     def __init__(self, groups: int):
+        self.n = 0
         self.sizes = np.zeros(FAN, dtype=np.int64)
         #: A mark of each point, such as the component that it is in.
         self.marks = np.zeros(FAN, dtype=np.int64)
         self.levels = [np.zeros((FAN, groups), dtype=np.int32)]
-        self.n = 0
 
     def append(self, counts: np.ndarray, size: int, mark: int = 0) -> None:
         if self.n == len(self.sizes):
@@ -176,11 +192,16 @@ class CountTree:
             nodes = nodes[((nodes + 1) * span > low) & (nodes * span < self.n)]
 
 
-SIGNED = "doc_id long, n_shingles int, class long, prefix binary, head0 long, head1 long"
+SIGNED = "doc_id long, row long, n_shingles int, class long, prefix binary, counts binary, head0 long, head1 long"
+
+
+def row_of(doc_id, text):
+    """What tells a row from others of its id: equal for equal rows only."""
+    return F.xxhash64(doc_id.cast("long"), text)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), prefix and min-hashes of every document."""
+    """doc_id, row, n_shingles, class (null for an empty set), prefix, point and min-hashes of every document."""
 
     def run(batches):
         known = WordHashes()
@@ -189,15 +210,17 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([prefix(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([packed_point(s) for s in sets], pa.binary()),
                     *[pa.array([head(s, order) for s in sets], pa.int64()) for order in ORDERS],
                 ],
-                ["doc_id", "n_shingles", "class", "prefix", "head0", "head1"],
+                ["doc_id", "row", "n_shingles", "class", "prefix", "counts", "head0", "head1"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), row_of(F.col("doc_id"), F.col("text")).alias("row"), "text").mapInArrow(run, SIGNED)
 
 
 def head(shingles: np.ndarray, order: int) -> int | None:
@@ -211,9 +234,14 @@ def set_class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def size_steps(n: np.ndarray) -> np.ndarray:
+    """Logarithms of sizes, rounded down."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(STEP))
+
+
 def fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes a <= b can be alike."""
-    return 100 * a.astype(np.int64) >= PERCENT * b.astype(np.int64)
+    """Whether sets of sizes a <= b, as ``size_steps``, can be alike."""
+    return b.astype(np.int64) - a.astype(np.int64) <= math.log(100 / PERCENT) / math.log(STEP) + 2
 
 
 def sharing(signs: DataFrame) -> DataFrame:
@@ -235,7 +263,7 @@ def sharing(signs: DataFrame) -> DataFrame:
                 parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
                 sizes = np.array([len(x) for x in parts])
                 owners = np.repeat(batch.column("class").to_numpy(zero_copy_only=False), sizes)
-                yield from packer.add(np.concatenate(parts), owners, np.repeat(batch.column("n_shingles").to_numpy(), sizes))
+                yield from packer.add(np.concatenate(parts), owners, np.repeat(size_steps(batch.column("n_shingles").to_numpy()), sizes))
         yield from packer.flush()
 
     rows = signs.where("class is not null").select("class", "n_shingles", "prefix")
@@ -243,17 +271,18 @@ def sharing(signs: DataFrame) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (a stored table with rep, the document that stands for a class) with the text instead of the id."""
-    return joined(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep").drop("rep")
+    """``wanted`` (a stored table with rep, the row that stands for a class) with the text instead of it."""
+    return joined(docs.select(row_of(F.col("doc_id"), F.col("text")).alias("rep"), "text"), wanted, "rep").drop("rep")
 
 
-def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> tuple[DataFrame, bool]:
+def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str, again: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b): links of followers to their leaders, among classes (class, rep, n, min-hashes) of one min-hash ``order``;
-    and whether groups were salted.
+    and (head) the groups that were salted. ``again``: only these groups.
 
     Only texts of classes that have company are read; groups of more than SALTED classes are split by a salt.
     """
-    company = stored(classes.groupBy(F.col(order).alias("head")).agg(F.count("*").alias("size")).where("size > 1"), "jaccard-company")
+    company = classes.groupBy(F.col(order).alias("head")).agg(F.count("*").alias("size")).where("size > 1")
+    company = stored(company if again is None else joined(company, again, "head", "left_semi"), "jaccard-company")
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / SALTED)).cast("int")
     dealt = joined(classes.withColumnRenamed(order, "head"), company, "head").select("class", "rep", "head", salt.alias("salt"), "n")
     dealt = with_texts(docs, stored(dealt, "jaccard-dealt"))
@@ -267,7 +296,7 @@ def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> tuple[D
                 if (head_, salt_) != group:
                     group, trees, last = (head_, salt_), {}, None
                 if c == last or not len(s) or set_class(s) != c:
-                    continue  # another row of the same id
+                    continue  # a row that came twice, or another row of the same hash
                 last, counts, octave, found = c, point(s), octave_of(len(s)), False
                 for o in (octave, octave + 1):
                     trees.setdefault(o, (CountTree(octave_groups(o)), []))
@@ -284,7 +313,7 @@ def round_of_leaders(docs: DataFrame, classes: DataFrame, order: str) -> tuple[D
             yield pa.RecordBatch.from_arrays([pa.array(followers, pa.int64()), pa.array(leaders, pa.int64())], ["a", "b"])
 
     links = dealt.repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "n", "class").mapInArrow(follow, "a long, b long")
-    return stored(links, "jaccard-links"), not company.where(F.col("size") > SALTED).isEmpty()
+    return stored(links, "jaccard-links"), company.where(F.col("size") > SALTED).select("head")
 
 
 def neighbourhoods(active: DataFrame, asked: DataFrame, roots: DataFrame) -> DataFrame:
@@ -325,6 +354,61 @@ def cells(rows: DataFrame, most: int | None = None) -> DataFrame:
     return dealt.select("hub", "at.cell", "at.side", "owner", "n", "rep", "root")
 
 
+class Probe:
+    """The points of a cell that came so far, by side and octave, and which of them are near one of another component."""
+
+    def __init__(self):
+        self.trees: dict[tuple[int, int], tuple[CountTree, list[int]]] = {}
+        self.rows: list[tuple] = []
+        self.near: set[int] = set()
+
+    def add(self, row: tuple, side: int, root: int, counts: np.ndarray, size: int) -> None:
+        at, octave = len(self.rows), octave_of(size)
+        self.rows.append(row)
+        if met := self.trees.get((3 - side if side else 0, octave)):
+            tree, members = met
+            found = tree.query(folded(counts, octave_groups(octave)), size, other_than=root).tolist()
+            if found:
+                self.near.add(at)
+                self.near.update([members[k] for k in found])
+        for o in (octave, octave + 1):
+            if (side, o) not in self.trees:
+                self.trees[side, o] = CountTree(octave_groups(o)), []
+            tree, members = self.trees[side, o]
+            tree.append(folded(counts, octave_groups(o)), size, root)
+            members.append(at)
+
+
+DEALT = "hub long, cell string, side int, owner long, n int, rep long, root long"
+
+
+def near_others(signs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt`` (a stored table) for which a class of another component in their cell passes the bound."""
+    names = [f.split(" ")[0] for f in DEALT.split(", ")]
+
+    def rows(cell: Probe) -> pa.RecordBatch:
+        columns = list(zip(*(cell.rows[k] for k in sorted(cell.near)))) or [[]] * len(names)
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def meet(batches):
+        group, cell = None, Probe()
+        for batch in batches:
+            for *row, counts in zip(*(batch.column(x).to_pylist() for x in (*names, "counts"))):
+                hub, name, side, owner, n, _, root = row
+                if (hub, name) != group:
+                    yield rows(cell)
+                    group, cell, last = (hub, name), Probe(), None
+                if owner != last:
+                    last = owner
+                    cell.add(row, side, root, unpacked_point(counts, n), n)
+        yield rows(cell)
+
+    points = signs.select(F.col("row").alias("rep"), F.col("class").alias("owner"), "counts")
+    placed = joined(points, dealt, ["rep", "owner"]).select(*names, "counts")
+    return placed.repartition(F.col("hub"), F.col("cell")).sortWithinPartitions("hub", "cell", "n", "owner").mapInArrow(meet, DEALT)
+
+
 class Cell:
     """The classes of a cell that came so far, by side and octave, and which components they have turned out to be."""
 
@@ -357,7 +441,7 @@ class Cell:
 
 
 def cell_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(a, b): links that connect components, found in each cell of ``dealt`` (a stored table)."""
+    """(a, b): links that connect components, found in each cell of ``dealt`` (a stored table) from the sets themselves."""
 
     def meet(batches):
         known, group = WordHashes(), None
@@ -368,7 +452,7 @@ def cell_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
                 if (hub, name) != group:
                     group, cell, last = (hub, name), Cell(), None
                 if owner == last or not len(s) or set_class(s) != owner:
-                    continue  # another row of the same id
+                    continue  # a row that came twice, or another row of the same hash
                 last = owner
                 for other in cell.add(owner, side, root, s):
                     a.append(owner)
@@ -380,32 +464,51 @@ def cell_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row of ``docs``."""
+    """doc_id, n_shingles, component_id (the least doc_id that links lead to), group_id (a name of the component that no
+    other has even if ids are repeated; null for an empty set) and row (``row_of``) of every row of ``docs``."""
     bounded(docs.sparkSession)
     signs = stored(signed(docs), "jaccard-signs")
     heads = [f"head{k}" for k in range(len(ORDERS))]
-    classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
+    classes = signs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("row").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(h).alias(h) for h in heads])
     classes = stored(classes, "jaccard-classes")
     active = stored(sharing(signs), "jaccard-active")
     met = stored(active.groupBy(F.col("owner").alias("class")).agg(F.count("*").alias("met")), "jaccard-met")
-    asked = stored(joined(classes.where("rep is not null"), met, "class").where(F.col("met") >= least_shared(F.col("n").cast("long")).cast("long")).drop("met"), "jaccard-asked")
+    asked = stored(joined(classes.drop("least"), met, "class").where(F.col("met") >= least_shared(F.col("n").cast("long")).cast("long")).drop("met"), "jaccard-asked")
     edges, left = None, asked
     for order in heads:
+        again = None
         for _ in range(ROUNDS):
-            links, salted = round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order)
+            links, again = round_of_leaders(docs, left.drop(*[h for h in heads if h != order]), order, again)
             edges = links if edges is None else edges.unionByName(links)
             followers = stored(links.select(F.col("a").alias("class")).distinct(), "jaccard-followers")
             left = stored(joined(left, followers, "class", "left_anti"), "jaccard-left")
-            if not salted or links.isEmpty():
+            if again.isEmpty() or links.isEmpty():
                 break
     roots = stored(components(edges), "jaccard-roots")
     dealt = stored(cells(stored(neighbourhoods(active, asked, roots), "jaccard-rows")), "jaccard-cells")
-    more = stored(cell_links(docs, dealt), "jaccard-links")
+    close = stored(near_others(signs, dealt), "jaccard-close")
+    more = stored(cell_links(docs, close), "jaccard-links")
     # Components found so far count as links of their nodes to their roots.
     roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "jaccard-roots")
-    named = joined(classes.select("class", "rep"), roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = joined(classes.select("class", "least"), roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Only components of two classes or more have to be named; others have the name of their one class.
-    name = stored(joined(named, roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("name")), "jaccard-names")
-    of_class = stored(joined(named, name, "root", "left").select("class", F.coalesce("name", "rep").alias("component_id")), "jaccard-components")
-    out = joined(signs.select("doc_id", "n_shingles", "class"), of_class, "class", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    name = stored(joined(named, roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("name")), "jaccard-names")
+    of_class = stored(joined(named, name, "root", "left").select("class", F.coalesce("name", "least").alias("component_id"), "root"), "jaccard-components")
+    out = joined(signs.select("doc_id", "row", "n_shingles", "class"), of_class, "class", "left")
+    name = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), name.alias("component_id"), F.col("root").alias("group_id"), "row")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (null after all others), of several such rows
+    one; rows with an empty set are all kept."""
+    links = stored(linked(docs.select("doc_id", "text")).where("group_id is not null").select("doc_id", "row", "group_id"), "jaccard-linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    groups = stored(links.groupBy("group_id").agg(F.count("*").alias("size"), first).where("size > 1").select("group_id", F.col("first.row").alias("first")), "jaccard-groups")
+    # Rows that go, and rows of which one stays: few against the rest, which are passed by without a shuffle.
+    rows = joined(links, groups, "group_id").groupBy("row").agg(F.count("*").alias("n"), F.min((F.col("row") == F.col("first")).cast("int")).alias("stays"))
+    marks = stored(rows.where("n > 1 or stays = 0").select(F.col("row").alias("_row"), "stays"), "jaccard-marks")
+    own = docs.columns
+    marked = joined(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_all"), row_of(F.col("doc_id"), F.col("text")).alias("_row")), marks, "_row", "left")
+    single = marked.where("stays = 1").groupBy("_row").agg(F.first("_all").alias("_all")).select("_all")
+    return marked.where("stays is null").select("_all").unionByName(single).select("_all.*")

@@ -27,14 +27,14 @@ DECONTAMINATION = f"""WITH b AS ({_words("benchmark", "item_id", ASCII_WORD, Tru
   FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 _k = substring.WINDOW
-SUBSTRINGS = f"""WITH d AS ({_words("documents", "doc_id", BLANK_WORD, False)}),
-  windows AS (SELECT doc_id, i, array_to_string(w[i : i + {_k} - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {_k} + 2)) AS i FROM d WHERE len(w) >= {_k})),
+SUBSTRINGS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM ({_words("documents", "doc_id", BLANK_WORD, False)})),
+  windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + {_k} - 1], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {_k} + 2)) AS i FROM d WHERE len(w) >= {_k})),
   first AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY 1),
-  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {_k})) AS k FROM windows JOIN first USING (s) WHERE m < doc_id),
-  lists AS (SELECT doc_id, list(k) AS g, count(*) AS n FROM gone GROUP BY 1),
-  split AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
-  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS s FROM split ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+  gone AS (SELECT DISTINCT r, unnest(range(i, i + {_k})) AS k FROM windows JOIN first USING (s) WHERE m < doc_id),
+  counts AS (SELECT r, count(*) AS n FROM gone GROUP BY 1),
+  split AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+  kept AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS s FROM split ANTI JOIN gone USING (r, k) GROUP BY 1)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)"""
 
 _w = jaccard.SHINGLE
 NEAR_COPIES = f"""WITH RECURSIVE d AS ({_words("documents", "doc_id", BLANK_WORD, True)}),

@@ -6,14 +6,15 @@ hold a copy of any of its windows: each window of WINDOW words picks the least h
 like windows pick alike. A block is the index of all stretches whose windows picked hashes of one bucket; stretches
 whose hash occurs in one document only are left out, as nothing can be copied from them.
 
-In a block, stretches come in order of doc_id. A factor starts where the next WINDOW words stand in the index and goes
-on as long as the words agree with the reference; factors are at least WINDOW words. Windows across the end of a
-factor are checked anew, since another source may hold them. All factors together cover just the windows that some
-smaller document has.
+In a block, stretches come in order of doc_id. A factor starts where the next WINDOW words stand in the index and is
+the longest run of words from there that stands in any reference stretch; factors are at least WINDOW words. Windows across the
+end of a factor are checked anew, since another source may hold them. All factors together cover just the windows that
+some smaller document has.
 
 Defined results: a null or empty text has no words, nothing is removed; a null doc_id is neither judged nor a source;
-rows of the same doc_id are no source for one another and are judged each by itself; an empty table gives an empty
-result; texts of any length are parsed whole; columns of the input called like a new one are replaced.
+rows of the same doc_id are no source for one another and are judged each by itself, whatever their texts; an empty
+table gives an empty result; texts of any length are parsed whole; columns of the input called like a new one are
+replaced. Hashes of 64 bits tell the texts of one doc_id apart and choose what is looked at; windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.arrow import bounded, byte_list, chunks
-from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, shared
+from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_count, grams, shared, short
 
 WINDOW, GRAM = 13, 5
+#: Windows in a stretch at most; a longer run of one hash, as in a text that repeats a phrase, is several stretches.
+MOST_WINDOWS = 48
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -55,6 +58,10 @@ def stretches(hashes: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram:
     first = valid.copy()
     first[1:] &= ~valid[:-1] | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(first)
+    if len(starts):
+        inside = np.arange(count) - starts[np.maximum(np.cumsum(first) - 1, 0)]
+        first |= valid & (inside % MOST_WINDOWS == 0)
+        starts = np.flatnonzero(first)
     last = np.append(valid[1:] & first[1:] | ~valid[1:], True) & valid
     return low[starts], doc[starts], starts, np.flatnonzero(last)
 
@@ -71,48 +78,55 @@ class Batch:
 
 
 class Block:
-    """A reference block: the windows of all stretches so far, each with the first place where it stands."""
+    """A reference block: a trie of all that starts with a window of a stretch so far; windows are its first nodes."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.places, self.texts, self.waiting = window, {}, [], []
+        self.window, self.windows, self.after, self.known, self.waiting = window, {}, {}, set(), []
 
     def admit(self) -> None:
         """Index what the last document brought."""
-        for words, keys in self.waiting:
-            k = len(self.texts)
-            new = False
+        windows, after = self.windows, self.after
+        for text, words, keys in self.waiting:
+            if text in self.known:
+                continue
+            self.known.add(text)
             for i, key in enumerate(keys):
-                if key not in self.places:
-                    self.places[key] = (k, i)
-                    new = True
-            if new:
-                self.texts.append(words)
+                node = windows.setdefault(key, len(windows) + len(after))
+                for word in words[i + self.window :]:
+                    node = after.setdefault((node, word), len(windows) + len(after))
         self.waiting.clear()
 
     def factors(self, text: bytes) -> list[tuple[int, int]]:
         """The factors of a stretch that are a window or longer, as (first word, word after the last)."""
         words = text.split(b" ")
-        n = self.window
+        n, get = self.window, self.after.get
         keys = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
-        self.waiting.append((words, keys))
+        self.waiting.append((text, words, keys))
+        if text in self.known:
+            return [(0, len(words))]
         out, i = [], 0
         while i < len(keys):
-            if (place := self.places.get(keys[i])) is None:
+            if (node := self.windows.get(keys[i])) is None:
                 i += 1
                 continue
-            source, j = self.texts[place[0]], place[1]
-            end, j = i + n, j + n
-            while end < len(words) and j < len(source) and words[end] == source[j]:
-                end, j = end + 1, j + 1
+            end = i + n
+            while end < len(words) and (node := get((node, words[end]))) is not None:
+                end += 1
             out.append((i, end))
             i = end - n + 1  # the first window across the end of the factor
         return out
 
 
+def identified(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
+    """_id, _text and _row, which tells the texts of one id apart."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), *more).withColumn("_row", F.xxhash64("_id", "_text"))
+
+
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and spans, array of (first, after) in words, of documents that repeat windows of smaller documents."""
+    """doc_id and spans, array of (row, first, after) in words, of documents that repeat windows of smaller documents;
+    ``row`` is the xxhash64 of doc_id and text."""
     bounded(docs.sparkSession)
-    return _spans(docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))).select(F.col("_id").alias(doc_id), "spans")
+    return _spans(identified(docs, doc_id, text)).select(F.col("_id").alias(doc_id), "spans")
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -142,26 +156,26 @@ def _spans(rows: DataFrame) -> DataFrame:
             keys, doc, first, last = own.runs
             lists = batch.column("keys").combine_chunks() if isinstance(batch.column("keys"), pa.ChunkedArray) else batch.column("keys")
             offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().view(np.uint64)
+            values, ids_of_keys = lists.values.to_numpy(), short(keys, buckets)
             hit = np.zeros(len(keys), dtype=bool)
             bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for d in range(batch.num_rows):
                 a, b = bounds[d], bounds[d + 1]
-                hit[a:b] = np.isin(keys[a:b], values[offsets[d] : offsets[d + 1]])
+                hit[a:b] = np.isin(ids_of_keys[a:b], values[offsets[d] : offsets[d + 1]])
             keys, doc, first, last = keys[hit], doc[hit], first[hit], last[hit]
             starts = first - own.before[doc]
             texts = [b" ".join(own.words[d][a : a + n]) for d, a, n in zip(doc.tolist(), starts.tolist(), (last - first + WINDOW).tolist())]
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)
+            ids, rows_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_row"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys % np.uint64(buckets)).astype(np.int32)), pa.array(ids[doc]), pa.array(starts.astype(np.int32)), pa.array(texts, pa.binary())],
-                ["bucket", "_id", "start", "words"],
+                [pa.array((keys % np.uint64(buckets)).astype(np.int32)), pa.array(ids[doc]), pa.array(rows_[doc]), pa.array(starts.astype(np.int32)), pa.array(texts, pa.binary())],
+                ["bucket", "_id", "row", "start", "words"],
             )
 
     def parse(batches):
         block, bucket, doc = Block(), None, None
         for batch in batches:
-            ids, starts, out = [], [], []
-            for b, d, start, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "_id", "start", "words"))):
+            ids, rows_, starts, out = [], [], [], []
+            for b, d, row, start, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "_id", "row", "start", "words"))):
                 if b != bucket:
                     block, bucket, doc = Block(), b, d
                 elif d != doc:
@@ -169,20 +183,22 @@ def _spans(rows: DataFrame) -> DataFrame:
                     doc = d
                 for first, after in block.factors(words):
                     ids.append(d)
+                    rows_.append(row)
                     starts.append(start + first)
                     out.append(start + after)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.int32())], ["_id", "first", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows_, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.int32())], ["_id", "row", "first", "after"])
 
-    pieces = met.mapInArrow(cut, "bucket int, _id long, start int, words binary")
-    found = pieces.repartition(F.col("bucket")).sortWithinPartitions("bucket", "_id").mapInArrow(parse, "_id long, first int, after int")
-    return found.groupBy("_id").agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    pieces = met.mapInArrow(cut, "bucket int, _id long, row long, start int, words binary")
+    found = pieces.repartition(F.col("bucket")).sortWithinPartitions("bucket", "_id").mapInArrow(parse, "_id long, row long, first int, after int")
+    return found.groupBy("_id").agg(F.collect_set(F.struct("row", "first", "after")).alias("spans"))
 
 
-def covered(n: int, found) -> np.ndarray:
-    """Which of ``n`` words lie in spans."""
+def covered(n: int, row: int, found) -> np.ndarray:
+    """Which of ``n`` words lie in spans of that row."""
     out = np.zeros(n, dtype=bool)
     for s in found or ():
-        out[s["first"] : s["after"]] = True
+        if s["row"] == row:
+            out[s["first"] : s["after"]] = True
     return out
 
 
@@ -202,20 +218,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_spac
     bounded(docs.sparkSession)
     own = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text")]
     # The columns passed by go in one struct, so that no name can clash.
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"))
+    rows = identified(docs, doc_id, text, F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"))
     found = _spans(rows)
 
     def remove(batches):
         for batch in chunks(batches, "_text"):
             counts, removed, kept = [], [], []
-            for raw, s in zip(byte_list(batch, "_text"), batch.column("spans").to_pylist()):
+            for raw, row, s in zip(byte_list(batch, "_text"), batch.column("_row").to_pylist(), batch.column("spans").to_pylist()):
                 words = raw.split()
                 counts.append(len(words))
                 if not s:
                     removed.append(0)
                     kept.append(raw if keep_space else b" ".join(words))
                     continue
-                gone = covered(len(words), s)
+                gone = covered(len(words), row, s)
                 removed.append(int(gone.sum()))
                 kept.append(cut_out(raw, gone) if keep_space else b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
             new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]

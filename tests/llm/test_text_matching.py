@@ -125,6 +125,44 @@ def test_substrings_against_brute_force(spark, documents, tmp_path, seed, vocabu
     assert got == want and sum(r[2] for r in want) > 100
 
 
+def run_sql(sql, path, tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    return sorted((tuple(r) for r in con.execute(sql).fetchall()), key=str)
+
+
+def test_substrings_of_rows_with_one_id(spark, documents, tmp_path):
+    w = [f"w{k}" for k in range(40)]
+    z = [f"z{k}" for k in range(40)]
+    rows = [(1, " ".join(w[:13])), (5, " ".join(w[:13] + ["tail"])), (5, " ".join(z[:20])), (5, " ".join(z[:20])), (5, " ".join(["head", *w[:13], *z[5:30]])), (9, " ".join(z[3:30])), (9, " ".join(w[5:30]))]
+    path = write(spark, tmp_path, documents, rows)
+    got = sorted((tuple(r) for r in queries.op4_substring_dedup(spark, path).collect()), key=str)
+    assert got == brute_substrings(rows) == run_sql(queries.ORACLE_SQL["op4_substring_dedup"], path, ["documents"])
+    assert [r[2] for r in got if r[0] == 5].count(0) == 2
+
+
+def test_factors_are_the_longest_of_the_block():
+    draw = random.Random(16)
+    block, seen = substring.Block(3), []
+    for _ in range(200):
+        words = [draw.choice([b"a", b"b", b"c"]) for _ in range(draw.randint(3, 9))]
+        runs = {tuple(s[i:j]) for s in seen for i in range(len(s)) for j in range(i + 3, len(s) + 1)}
+        i, want = 0, []
+        while i + 3 <= len(words):
+            if tuple(words[i : i + 3]) not in runs:
+                i += 1
+                continue
+            end = max(j for j in range(i + 3, len(words) + 1) if tuple(words[i:j]) in runs)
+            want.append((i, end))
+            i = end - 2
+        assert block.factors(b" ".join(words)) == want
+        block.admit()
+        seen.append(words)
+
+
 def test_substring_text_keeps_its_space(spark, documents):
     copy = " ".join(f"w{k}" for k in range(13))
     out = {r["doc_id"]: r["kept_text"] for r in substring.dedup(documents([(1, copy), (2, f"Head\nline  {copy}\n tail  x")]), keep_space=True).collect()}
@@ -203,6 +241,32 @@ def test_jaccard_cells_let_all_fitting_pairs_meet(spark):
     assert fit <= pairs
 
 
+def test_points_are_packed_without_loss():
+    draw = np.random.default_rng(12)
+    for n in (1, 2, 30, 64, 500, 20000, 70000):
+        s = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        assert (jaccard.unpacked_point(jaccard.packed_point(s), len(s)) == jaccard.point(s)).all()
+
+
+def test_sizes_that_fit_are_never_told_apart():
+    n = np.arange(1, 5000)
+    for small in (1, 4, 79, 80, 81, 800, 3999):
+        big = n[(n >= small) & (100 * small >= 80 * n)]
+        assert jaccard.fitting(jaccard.size_steps(np.full(len(big), small)), jaccard.size_steps(big)).all()
+
+
+def test_fingerprints_in_fewer_bytes():
+    from quarry.llm import fingerprints
+
+    keys = np.random.default_rng(13).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    packer = fingerprints.Packer(7)
+    batches = [*packer.add(keys, np.arange(5000), np.zeros(5000)), *packer.flush()]
+    for row in batches[0].to_pylist():
+        owners = np.frombuffer(row["owners"], dtype=np.int64)
+        got = (fingerprints.unpacked(row["keys"]) << np.uint64(23) | np.uint64(row["bucket"])).view(np.int64)
+        assert (got == fingerprints.short(keys[owners], 7)).all()
+
+
 def test_jaccard_hands_on_fewer_links_than_classes(spark, documents):
     """Copies of one text with a few words changed: each class of a neighbourhood costs one link at most."""
     draw = random.Random(11)
