@@ -1,13 +1,14 @@
 """A training corpus from raw documents: five stages, each written and read again before the next.
 
 1. quality rules: rejected documents go;
-2. n-gram Jaccard join: of each group of near copies the document with the least doc_id stays;
+2. n-gram Jaccard join: of each group of near copies the document with the least doc_id stays, once;
 3. substring dedup: words that repeat windows of smaller documents are cut out; documents with nothing left go;
 4. benchmark decontamination: spans of benchmark phrases are cut out; documents with nothing left go;
 5. BPE: the text of each document as token ids.
 
 Each stage works on all rows that the one before kept. All but the last return the columns of ``documents``; n_chars
-is brought up to date where a text changes. Rows whose doc_id is null have no component but themselves and are kept.
+is brought up to date where a text changes. Rows whose doc_id is null are judged like others; in a group of near copies
+they come after all others. Rows of one doc_id with different texts are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -28,10 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = jaccard.linked(docs.select("doc_id", "text"))
-    gone = links.where("component_id < doc_id").select("doc_id").distinct()
-    # Rows of one id and one text stay alike; the ids to drop are joined by shuffle, so no text is broadcast.
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.one_each(docs)
 
 
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
