@@ -67,3 +67,19 @@ def test_run_equals_stages(spark, tmp_path):
     tables(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and out.count() > 30
+
+
+def test_one_row_of_a_group_stays(spark, documents):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [(4, text(4)), (4, text(4)), (9, text(4)), (None, text(4) + " more"), (None, text(5)), (None, text(5)), (6, text(6)), (6, text(7)), (8, text(7)), (3, ""), (3, None)]
+    out = corpus_pipeline.near_duplicates(spark, documents(rows), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted({(4, text(4)), (None, text(5)), (6, text(6)), (6, text(7)), (3, ""), (3, None)}, key=str)
+    assert corpus_pipeline.near_duplicates(spark, documents(rows).where("false"), "").count() == 0
+
+
+def test_stages_take_rows_of_one_id_apart(spark, documents):
+    words_ = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join(words_)), (5, " ".join(["head", *words_[3:25], *(f"z{k}" for k in range(30))])), (5, " ".join(f"y{k}" for k in range(30)))]
+    got = sorted(r["text"] for r in corpus_pipeline.repeated_substrings(spark, documents(rows), "").collect())
+    assert got == sorted([rows[0][1], rows[2][1], " ".join(["head", *(f"z{k}" for k in range(30))])])
