@@ -1,6 +1,7 @@
 """Toxicity on held-out rows, and page extraction."""
 
 import random
+import time
 import zlib
 
 import pytest
@@ -120,13 +121,18 @@ def test_simple_tree_matching():
     draw = random.Random(12)
 
     def tree(depth):
-        node = html.Node(draw.choice("abc"))
+        node = html.Node(draw.choice("abc"), draw.random() < 0.05)
         node.parts = [tree(depth - 1) for _ in range(draw.randint(0, 3))] if depth else []
         return node
 
+    forms = html.Forms()
     for _ in range(200):
         a, b = tree(3), tree(3)
-        assert html.match(a, b, {}) == brute_match(a, b)
+        forms.number(a), forms.number(b)
+        assert forms.match(a.form, b.form) == brute_match(a, b)
+        if a.tag == b.tag and a.furniture == b.furniture:
+            pairs = html.pairing(a, b, forms)
+            assert len(pairs) == brute_match(a, b) and len(set(pairs.values())) == len(pairs)
         assert html.skeleton(html.from_skeleton(html.skeleton(a))) == html.skeleton(a)
 
 
@@ -134,4 +140,99 @@ def test_simple_tree_matching():
 def test_large_page(size):
     page = html.parse("<article>" + "<p>x<div>y</div>" * size + "</article>")
     other = html.parse("<article>" + "<p>x<div>y</div>" * (size - 7) + "</article>")
-    assert len(html.pairing(page, other)) > size
+    assert len(html.pairing(page, other, html.Forms())) > size
+
+
+def in_time(spark, pages, seconds=60, **options):
+    began = time.time()
+    frame = spark.createDataFrame([(k, "http://big.org/", t) for k, t in enumerate(pages)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(frame, **options).collect()}
+    assert time.time() - began < seconds
+    return [out[k] for k in range(len(pages))]
+
+
+def test_deep_pages(spark):
+    deep = [f"<body><article><p>{k} a {'<b>' * 100_000}x</p><div>{'<i>' * 5000}y{k}</article>" for k in range(3)]
+    lists = "<ul>" + "<b>" * 20_000 + "<li>z</li>" * 20_000
+    got = in_time(spark, [*deep, "<div>" * 5000 + "last", lists])
+    assert got == [*[f"{k} a x\ny{k}" for k in range(3)], "last", "\n".join(["z"] * 20_000)]
+
+
+def test_long_mixed_lists(spark):
+    draw = random.Random(13)
+    few = [f"<body><main>{''.join(draw.choice(['<p>{}</p>', '<div>{}</div>', '<h2>{}</h2>', '<ul><li>{}</ul>']).format(f'{k}.{j}') for j in range(5000))}</main>" for k in range(3)]
+    many = [f"<body><main>{''.join('<div>' + '<i></i>' * draw.randrange(50) + f'{k}.{j}' + '<p></p>' * draw.randrange(50) + '</div>' for j in range(1500))}</main>" for k in range(2)]
+    got = in_time(spark, few + many)
+    assert got == ["\n".join(f"{k}.{j}" for j in range(n)) for n, m in ((5000, 3), (1500, 2)) for k in range(m)]
+
+
+def test_anchored_children_pair_in_order():
+    draw, forms = random.Random(14), html.Forms()
+    for _ in range(100):
+        make = lambda: html.parse("".join("<div>" + "<i></i>" * draw.randrange(9) + "</div>" if draw.random() < 0.8 else "<p></p>" for _ in range(draw.randrange(12))))
+        a, b = make(), make()
+        forms.number(a), forms.number(b)
+        x, y = forms.kids[a.form], forms.kids[b.form]
+        pairs = forms.anchored(x, y, range(len(x)), range(len(y)))
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:])) and all(forms.tags[x[i]] == forms.tags[y[j]] for i, j in pairs)
+
+
+def test_pages_without_nodes_are_no_seed(spark):
+    page = "<body><div><div>Site name</div><div>Menu of the site</div></div><div><div><p>Story {k} goes on and on, number {k}.</p><p>More of {k}</p></div></div><div>All rights reserved</div></body>"
+    pages = [None, "", "no tags", *(page.replace("{k}", str(k * 7)) for k in range(3, 9))]
+    assert in_time(spark, pages) == ["", "", "no tags", *(f"Story {k * 7} goes on and on, number {k * 7}.\nMore of {k * 7}" for k in range(3, 9))]
+
+
+def test_furniture_by_whole_names(spark):
+    kept = "<div class='share-class-analysis'><p>a {k}</p></div><ul class='related-work'><li>b</ul><section id='comment-on-law'><p>c {k}</p></section><div class='post-header'><p>d {k}</p></div>"
+    gone = "<div class='x ad-box'>1</div><ul class='related-posts'><li>2</ul><section id='comments'><p>3</section><div class='cookieNotice'>4</div><p class=newsletter>5</p><div role=navigation>6</div>"
+    page = "<body><header><p>Page</p></header><article><header><h1>Title {k}</h1></header>" + kept + gone + "<footer>7</footer></article>"
+    want = "Title {k}\na {k}\nb\nc {k}\nd {k}"
+    assert in_time(spark, [page.replace("{k}", str(k)) for k in range(2)]) == [want.replace("{k}", str(k)) for k in range(2)]
+
+
+def test_template_inside_the_article(spark):
+    page = "<body><article><h1>T{k}</h1><p>Read all we have</p><p>Text {k}</p>{more}<div>Sign up now</div></article></body>"
+    pages = [page.replace("{k}", str(k)).replace("{more}", "<p>Long tail</p>" * (k < 2)) for k in range(10)] + [page.replace("{k}", "0").replace("{more}", "<p>Long tail</p>")] * 5
+    # The paragraph that few pages have is no template, however alike; copies of a page count as one page.
+    tail = lambda k: "\nLong tail" * (k < 2)
+    assert in_time(spark, pages, cut_template=True) == [f"T{k}\nText {k}{tail(k)}" for k in [*range(10), 0, 0, 0, 0, 0]]
+    assert in_time(spark, pages) == [f"T{k}\nRead all we have\nText {k}{tail(k)}\nSign up now" for k in [*range(10), 0, 0, 0, 0, 0]]
+
+
+def brute_text(page, shape):
+    """What a page of ``made_page`` holds, from its own parts."""
+    return "\n".join(t for kind, t in shape if kind == "text")
+
+
+def made_page(draw, k):
+    """A page of random parts with the text that is to come out."""
+    word = lambda: draw.choice(["alpha", "be &amp; ta", "gam<b>ma</b>", "d&eacute;lta", "&#8364;5", "x &lt; y", "<a href='/q'>link</a>", "<i>it<span>al</span>ics</i>"])
+    plain = {"be &amp; ta": "be & ta", "gam<b>ma</b>": "gamma", "d&eacute;lta": "délta", "&#8364;5": "€5", "x &lt; y": "x < y", "<a href='/q'>link</a>": "link", "<i>it<span>al</span>ics</i>": "italics"}
+    shape, out = [], []
+    for _ in range(draw.randint(2, 9)):
+        words = [word() for _ in range(draw.randint(1, 12))] + [f"n{draw.randrange(10**6)}"]
+        said = " ".join(plain.get(w, w) for w in words)
+        kind = draw.randrange(8)
+        if kind < 4:
+            tag = draw.choice(["p", "h2", "blockquote", "pre", "div"])
+            out.append(f"<{tag}>" + draw.choice([" ", "\n\t "]).join(words) + f"</{tag}>")
+            shape.append(("text", said))
+        elif kind == 4:
+            out.append("<ul>" + "".join(f"<li>{w}" for w in words) + "</ul>")
+            shape += [("text", plain.get(w, w)) for w in words]
+        elif kind == 5:
+            out.append("<table><tr>" + "".join(f"<td>{w}" for w in words) + "</table>")
+            shape += [("text", plain.get(w, w)) for w in words]
+        else:
+            out.append(draw.choice(["<aside>{}</aside>", "<div class='ad'>{}</div>", "<form>{}</form>", "<script>{}</script>", "<!-- {} -->", "<nav><p>{}</nav>", "<section class='comments'><p>{}</section>"]).format(" ".join(words)))
+    return f"<html><head><title>t{k}</title></head><body><nav>menu {k}</nav><div><div class='wrap'>" + "".join(out) + f"</div></div><footer>foot {k}</footer></body></html>", shape
+
+
+def test_extraction_against_brute_force(spark):
+    draw = random.Random(15)
+    made = [made_page(draw, k) for k in range(120)]
+    pages = [(k, f"http://h{k % 4}.org/{k}", t) for k, (t, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, (t, shape) in enumerate(made):
+        assert got[k] == brute_text(t, shape), t
