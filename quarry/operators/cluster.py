@@ -6,7 +6,7 @@ Points stay distributed; what the driver holds is a few numbers for each cluster
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,15 @@ def mahalanobis_assign(points: DataFrame, clusters: DataFrame, limit: float | No
 
 
 def first_centers(points: DataFrame, k: int) -> np.ndarray:
-    """Starting centers: the k points of least seeded hash, without repeats of a place."""
-    rows = points.orderBy(F.xxhash64(F.col("point_id"), F.lit(1)), "point_id").limit(4 * k).select("coords").collect()
-    return np.unique(np.array([r[0] for r in rows], dtype=float), axis=0, return_index=False)[:k] if rows else np.empty((0, 0))
+    """Starting centers: the k points of least seeded hash, without repeats of a place among the first 4 k."""
+    rows = points.orderBy(_draw(), "point_id").limit(4 * k).select("coords").collect()
+    places = list(dict.fromkeys(tuple(map(float, r[0])) for r in rows))[:k]
+    return np.array(places) if places else np.empty((0, 0))
+
+
+def _draw():
+    """The seeded hash of a point by which it is drawn: a multiplicative one, which any engine can compute."""
+    return F.pmod(F.col("point_id").cast("long") * F.lit(48271) + F.lit(11), F.lit(2147483647))
 
 
 def _nearest(centers: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -104,7 +110,6 @@ class Summary:
     n: int
     sum: np.ndarray
     sumsq: np.ndarray
-    members: list = field(default_factory=list)
 
     @property
     def center(self) -> np.ndarray:
@@ -118,31 +123,27 @@ class Summary:
         self.n += other.n
         self.sum = self.sum + other.sum
         self.sumsq = self.sumsq + other.sumsq
-        self.members += other.members
-
-
-def _summaries(ids: list, x: np.ndarray, k: int, rounds: int = 30) -> list[Summary]:
-    """k-means of a bounded set of points in memory: the retained set and the first sample of BFR."""
-    if not len(ids):
-        return []
-    order = np.argsort(ids, kind="stable")
-    ids, x = [ids[i] for i in order], x[order]
-    start = np.unique(np.linspace(0, len(ids) - 1, min(k, len(ids))).round().astype(int))
-    centers = x[start]
-    for _ in range(rounds):
-        at = _nearest(centers, x)
-        alive = np.unique(at)
-        new = np.array([x[at == c].mean(axis=0) for c in alive])
-        done = len(alive) == len(centers) and np.abs(new - centers).sum() < 0.01
-        centers = new
-        if done:
-            break
-    at = _nearest(centers, x)
-    return [Summary(int((at == c).sum()), x[at == c].sum(axis=0), (x[at == c] ** 2).sum(axis=0), [ids[i] for i in np.flatnonzero(at == c)]) for c in np.unique(at)]
 
 
-def _distances(clusters: list[Summary], x: np.ndarray) -> np.ndarray:
-    return np.array([np.sqrt((((x - c.center) / np.maximum(c.std, 1e-6)) ** 2).sum(axis=1)) for c in clusters]).T
+def summaries(assigned: DataFrame) -> dict[int, Summary]:
+    """The summary of each cluster of (coords, cluster), summed up in the tasks."""
+    parts: dict[int, list] = {}
+    for r in cluster_stats(assigned).orderBy("cluster", "dim").collect():
+        parts.setdefault(r["cluster"], []).append(r)
+    return {c: Summary(v[0]["n"], np.array([r["sum"] for r in v]), np.array([r["sumsq"] for r in v])) for c, v in parts.items()}
+
+
+def _grouped(points: DataFrame, k: int) -> tuple[DataFrame, dict[int, Summary]]:
+    """(point_id, coords, cluster) by k-means, as a stored table, and the summaries of the clusters."""
+    found, _ = kmeans(points, k)
+    assigned = stored(points.select("point_id", "coords").join(found, "point_id"), "grouped")
+    return assigned, summaries(assigned)
+
+
+def _near(spark, points: DataFrame, clusters: dict[int, Summary], bar: float) -> DataFrame:
+    """(point_id, coords, cluster): the nearest cluster within the bar, else -1."""
+    table = spark.createDataFrame([(c, s.center.tolist(), s.std.tolist()) for c, s in clusters.items()], "cluster int, center array<double>, std array<double>")
+    return stored(points.select("point_id", "coords").join(mahalanobis_assign(points, table, bar).drop("distance"), "point_id"), "near")
 
 
 @dataclass
@@ -154,13 +155,14 @@ class Bfr:
     clusters: list[Summary]
 
 
-def bfr(points: DataFrame, k: int, share: float = 0.2, most: float = 100.0) -> Bfr:
+def bfr(points: DataFrame, k: int, share: float = 0.2, most: float = 100.0, sample: int = 100_000) -> Bfr:
     """BFR over (point_id, coords, chunk): one chunk a round, in order.
 
-    The first ``share`` of the first chunk's ids start the discard set; single points wait in the retained set, small
-    clusters in the compression set, all by the Mahalanobis bar 2 sqrt(d) (and under ``most``). The driver holds the
-    clusters' summaries, and those points that fit none: BFR's own working set. Points that join the discard set are
-    summed up in the tasks. At the end every compression cluster joins its nearest discard cluster, retained points
+    The first ``share`` of the first chunk's ids start the discard set (the ``sample`` of least seeded hash among them,
+    if there are more; the rest is then assigned like all other points). Single points wait in the retained set, small
+    clusters in the compression set, all by the Mahalanobis bar 2 sqrt(d) (and under ``most``). All points of a round
+    are judged by the clusters before it. Points, the sample and the retained set stay tables; the driver holds the
+    clusters' summaries only. At the end every compression cluster joins its nearest discard cluster, retained points
     are outliers (-1).
     """
     spark = points.sparkSession
@@ -168,83 +170,84 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, most: float = 100.0) -> B
     chunks_ = [r[0] for r in points.select("chunk").distinct().orderBy("chunk").collect()]
     if not chunks_:
         return Bfr(points.select("point_id", F.lit(-1).alias("cluster")), [], [])
-    dims = len(points.first()["coords"])
-    bar = min(2 * math.sqrt(dims), most)
+    bar = min(2 * math.sqrt(len(points.first()["coords"])), most)
     first = points.where(F.col("chunk") == chunks_[0])
     low, high = first.agg(F.min("point_id"), F.max("point_id")).first()
-    cut = low + share * (high - low)
-    sample = first.where(F.col("point_id") <= cut).orderBy("point_id").collect()
-    ids, x = [r["point_id"] for r in sample], np.array([r["coords"] for r in sample])
-    rough = _summaries(ids, x, 4 * k)
-    place = {p: i for i, p in enumerate(ids)}
-    inner = [p for s in rough if s.n > 2 for p in s.members] or ids
-    outer = [p for p in ids if p not in set(inner)]
-    pick = lambda some: (some, x[[place[p] for p in some]] if some else np.empty((0, dims)))
-    discard = _summaries(*pick(inner), k)
-    compressed, retained = [], {}
-
-    def settle(found: list[Summary], coords: dict):
-        """Clusters of two or more are compressed, single points retained."""
-        for s in found:
-            if s.n > 1:
-                compressed.append(s)
-                for p in s.members:
-                    coords.pop(p, None)
-            else:
-                retained[s.members[0]] = s.sum
-
-    settle(_summaries(*pick(outer), 4 * k), {})
-    rounds, parts = [], [(p, c) for c, s in enumerate(discard) for p in s.members]
-    for s in discard:
-        s.members = []
-    assigned = [spark.createDataFrame(parts, "point_id long, cluster int")] if parts else []
-    report = lambda r: rounds.append((r, len(discard), sum(s.n for s in discard), len(compressed), sum(s.n for s in compressed), len(retained)))
+    drawn = stored(first.where(F.col("point_id") <= low + share * (high - low)).orderBy(_draw(), "point_id").limit(sample).select("point_id", "coords"), "sample")
+
+    rough, parts = _grouped(drawn, 4 * k)
+    large = [c for c, s in parts.items() if s.n > 2] or list(parts)
+    inner, found = _grouped(rough.where(F.col("cluster").isin(large)), k)
+    name = {c: i for i, c in enumerate(sorted(found))}
+    discard = {name[c]: s for c, s in found.items()}
+    renamed = lambda df, names: df.join(F.broadcast(spark.createDataFrame(list(names.items()), "cluster int, named int")), "cluster").select("point_id", F.col("named").alias("cluster"))
+    assigned = [renamed(inner, name)]
+    compressed: dict[int, Summary] = {}
+    held: list[DataFrame] = []  # (point_id, cluster) of compression clusters, by the names that these had at the time
+    joins: dict[int, int] = {}  # names of merged compression clusters, and what they went into
+    count = iter(range(1 << 30))
+
+    def settle(waiting: DataFrame) -> DataFrame:
+        """Clusters of two or more are compressed; the single points are returned."""
+        grouped, found = _grouped(waiting, 4 * k)
+        names = {c: next(count) for c, s in sorted(found.items()) if s.n > 1}
+        compressed.update({names[c]: found[c] for c in names})
+        if names:
+            held.append(renamed(grouped, names))
+        return grouped.where(~F.col("cluster").isin(list(names))).select("point_id", "coords")
+
+    def final(c: int) -> int:
+        while c in joins:
+            c = joins[c]
+        return c
+
+    retained = settle(rough.where(~F.col("cluster").isin(large)).select("point_id", "coords"))
+    rounds: list[tuple] = []
+
+    def report(r: int) -> None:
+        rounds.append((r, len(discard), sum(s.n for s in discard.values()), len(compressed), sum(s.n for s in compressed.values()), retained.count()))
+
     report(1)
     for r, chunk in enumerate(chunks_):
         now = points.where(F.col("chunk") == chunk)
         if r == 0:
-            now = now.where(F.col("point_id") > cut)
-        table = spark.createDataFrame([(c, s.center.tolist(), s.std.tolist()) for c, s in enumerate(discard)], "cluster int, center array<double>, std array<double>")
-        near = stored(now.join(mahalanobis_assign(now, table, bar).drop("distance"), "point_id"), "round")
-        sums = near.where("cluster >= 0").select("cluster", F.posexplode("coords").alias("dim", "x")).groupBy("cluster", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-        got: dict = {}
-        for row in sums.orderBy("cluster", "dim").collect():
-            got.setdefault(row["cluster"], []).append((row["n"], row["s"], row["q"]))
-        for c, v in got.items():
-            discard[c].add(Summary(v[0][0], np.array([a[1] for a in v]), np.array([a[2] for a in v])))
+            now = now.join(F.broadcast(drawn.select("point_id")), "point_id", "left_anti")  # ``sample`` ids at most
+        near = _near(spark, now, discard, bar)
+        for c, s in summaries(near.where("cluster >= 0")).items():
+            discard[c].add(s)
         assigned.append(near.where("cluster >= 0").select("point_id", "cluster"))
-        for row in near.where("cluster < 0").orderBy("point_id").collect():
-            p, v = row["point_id"], np.array(row["coords"])
-            d = _distances(compressed, v[None, :])[0] if compressed else np.array([])
-            if len(d) and d.min() <= bar:
-                compressed[int(d.argmin())].add(Summary(1, v, v**2, [p]))
-            else:
-                retained[p] = v
-        if len(retained) > 4 * k:
-            waiting = dict(retained)
-            retained.clear()
-            settle(_summaries(list(waiting), np.array(list(waiting.values())), 4 * k), waiting)
+        rest = _near(spark, near.where("cluster < 0"), compressed, bar)
+        for c, s in summaries(rest.where("cluster >= 0")).items():
+            compressed[c].add(s)
+        held.append(rest.where("cluster >= 0").select("point_id", "cluster"))
+        retained = stored(retained.unionByName(rest.where("cluster < 0").select("point_id", "coords")), "retained")
+        if retained.count() > 4 * k:
+            retained = stored(settle(retained), "retained")
+        order = list(compressed)
         i = 0
-        while i < len(compressed):  # merge compression clusters that are near; a merged one waits for the next pass
-            d = _distances([compressed[i]], np.array([c.center for c in compressed[i + 1 :]]))[:, 0] if i + 1 < len(compressed) else []
-            j = next((j for j, v in enumerate(d) if v < bar), None)
-            if j is not None:
-                compressed[i].add(compressed.pop(i + 1 + j))
+        while i < len(order):  # merge compression clusters that are near; a merged one waits for the next pass
+            s = compressed[order[i]]
+            near_one = next((j for j in range(i + 1, len(order)) if np.sqrt((((compressed[order[j]].center - s.center) / np.maximum(s.std, 1e-6)) ** 2).sum()) < bar), None)
+            if near_one is not None:
+                gone = order.pop(near_one)
+                s.add(compressed.pop(gone))
+                joins[gone] = order[i]
             i += 1
         if r == len(chunks_) - 1:
-            for s in compressed:
-                c = int(np.argmin([np.linalg.norm(t.center - s.center) for t in discard]))
-                members, s.members = s.members, []
-                discard[c].add(s)
-                assigned.append(spark.createDataFrame([(p, c) for p in members], "point_id long, cluster int"))
+            goes = {}
+            for c, s in compressed.items():
+                goes[c] = min(discard, key=lambda d: (np.linalg.norm(discard[d].center - s.center), d))
+            for c, d in goes.items():
+                discard[d].add(compressed[c])
+            names = {c: goes[final(c)] for c in [*joins, *goes]}
+            if names:
+                assigned += [renamed(df, names) for df in held]
             compressed.clear()
         report(r + 2)
-    if retained:
-        assigned.append(spark.createDataFrame([(p, -1) for p in sorted(retained)], "point_id long, cluster int"))
-    out = assigned[0]
-    for part in assigned[1:]:
+    out = retained.select("point_id", F.lit(-1).alias("cluster"))
+    for part in assigned:
         out = out.unionByName(part)
-    return Bfr(out, rounds, discard)
+    return Bfr(out, rounds, list(discard.values()))
 
 
 def nmi(a: DataFrame) -> DataFrame:

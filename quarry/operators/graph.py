@@ -1,6 +1,6 @@
 """Graphs: co-interaction edges, degrees, label propagation, components, modularity, betweenness, Girvan-Newman.
 
-Edges are undirected and stand once, as (a, b) with a < b.
+Edges are undirected and stand once, as (a, b) with a < b. Ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.dense import dense_ids
 from quarry.operators.components import components
 from quarry.operators.similar import common_members
 from quarry.storage import stored
 
-#: Edges up to this number are broadcast to the tasks that walk the graph; beyond it, walks are joins.
+#: Edges up to this number are broadcast to the tasks that walk the graph, as arrays of some 24 bytes an edge; beyond
+#: it, walks are joins.
 WALK_EDGES = 2_000_000
 #: Edges of a graph that Girvan-Newman splits on the driver, and roots times edges that it also walks there.
 LOCAL_EDGES, LOCAL_STEPS = 50_000, 5_000_000
@@ -67,24 +69,84 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.sum(q), F.lit(0.0)).alias("q"))
 
 
-def _credits(root, neighbours: dict) -> dict:
-    """Edge credits of the shortest paths from one root: breadth first, then back from the farthest."""
-    level, paths, order, parents = {root: 0}, {root: 1.0}, [root], {root: []}
-    for v in order:
-        for w in neighbours[v]:
-            if w not in level:
-                level[w], paths[w], parents[w] = level[v] + 1, 0.0, []
-                order.append(w)
-            if level[w] == level[v] + 1:
-                paths[w] += paths[v]
-                parents[w].append(v)
-    credit, out = dict.fromkeys(order, 1.0), {}
-    for w in reversed(order):
-        for v in parents[w]:
-            share = credit[w] * paths[v] / paths[w]
-            out[min(v, w), max(v, w)] = share
-            credit[v] += share
-    return out
+def coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices (v, idx) with dense numbers in their order, and the edges (a, b) in these numbers."""
+    index = stored(dense_ids(vertices(edges), "v"), "vertices")
+    ends = edges.select("a", "b").join(index.select(F.col("v").alias("a"), F.col("idx").alias("x")), "a").join(index.select(F.col("v").alias("b"), F.col("idx").alias("y")), "b")
+    return index, stored(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "graph")
+
+
+def decoded(df: DataFrame, index: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with vertices instead of their numbers in these columns."""
+    own = df.columns
+    for c in columns:
+        df = df.join(index.select(F.col("v").alias("_v"), F.col("idx").alias(c)), c).drop(c).withColumnRenamed("_v", c)
+    return df.select(*own)
+
+
+class Links:
+    """A graph of numbered vertices: the neighbours of all vertices laid end to end, with the number of each edge."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.n = int(max(a.max(), b.max())) + 1 if len(a) else 0
+        src, self.dst = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(src, kind="stable")
+        self.dst, self.edge = self.dst[order].astype(np.int64), np.tile(np.arange(len(a)), 2)[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=self.n))])
+
+    def from_all(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vertex and place in ``dst`` of all links that start at some vertices."""
+        size = self.first[at + 1] - self.first[at]
+        start = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return np.repeat(at, size), start + np.arange(int(size.sum()))
+
+    def credit(self, root: int, sums: np.ndarray) -> None:
+        """Adds the credits of the shortest paths from a root to its edges: out level by level, then back."""
+        level, paths = np.full(self.n, -1), np.zeros(self.n)
+        level[root], paths[root] = 0, 1.0
+        front, steps, depth = np.array([root]), [], 0
+        while len(front):
+            src, place = self.from_all(front)
+            dst, depth = self.dst[place], depth + 1
+            front = np.unique(dst[level[dst] < 0])
+            level[front] = depth
+            down = level[dst] == depth
+            src, dst, place = src[down], dst[down], place[down]
+            np.add.at(paths, dst, paths[src])
+            steps.append((src, dst, place))
+        credit = np.ones(self.n)
+        for src, dst, place in reversed(steps):
+            share = credit[dst] * paths[src] / paths[dst]
+            sums[self.edge[place]] += share  # an edge stands once in a step
+            np.add.at(credit, src, share)
+
+    def scores(self, roots) -> np.ndarray:
+        """The credits of all edges from these roots."""
+        sums = np.zeros(len(self.a))
+        for root in roots:
+            self.credit(root, sums)
+        return sums
+
+
+def _arrays(edges: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) of a graph whose size was checked, as arrays on the driver."""
+    table = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+    return table.column("a").to_numpy(), table.column("b").to_numpy()
+
+
+def _dealt_scores(spark, links: Links) -> DataFrame:
+    """(edge, score) of a graph that tasks get as a broadcast; roots are dealt to the tasks."""
+    shared = spark.sparkContext.broadcast((links.a, links.b))
+
+    def walk(batches):
+        graph, sums = Links(*shared.value), 0.0
+        for batch in batches:
+            sums = sums + graph.scores(batch.column("id").to_pylist())
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.asarray(sums)[found] if len(found) else [], pa.float64())], ["edge", "share"])
+
+    return spark.range(links.n).mapInArrow(walk, "edge long, share double").groupBy("edge").agg((F.sum("share") / 2).alias("score"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
@@ -93,27 +155,18 @@ def betweenness(edges: DataFrame) -> DataFrame:
     Roots are dealt to tasks, which sum the credits of all their roots before the shuffle. The graph is broadcast
     behind a check of its size; a larger one is walked by joins.
     """
-    edges = stored(edges.select("a", "b"), "graph")
-    n = edges.count()
-    if n > WALK_EDGES:
-        return betweenness_by_joins(edges)
-    neighbours: dict = {}
-    for a, b in edges.collect():
-        neighbours.setdefault(a, []).append(b)
-        neighbours.setdefault(b, []).append(a)
-    shared = edges.sparkSession.sparkContext.broadcast(neighbours)
+    index, e = coded(edges)
+    return decoded(_scored(e), index, "a", "b")
 
-    def walk(batches):
-        sums: dict = {}
-        for batch in batches:
-            for root in batch.column("v").to_pylist():
-                for edge, share in _credits(root, shared.value).items():
-                    sums[edge] = sums.get(edge, 0.0) + share
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.float64())], ["a", "b", "share"])
 
-    roots = vertices(edges).select(F.col("v").cast("long").alias("v")).repartition("v")
-    return roots.mapInArrow(walk, "a long, b long, share double").groupBy("a", "b").agg((F.sum("share") / 2).alias("score"))
+def _scored(e: DataFrame) -> DataFrame:
+    """(a, b, score) of edges between numbered vertices."""
+    if e.count() > WALK_EDGES:
+        return betweenness_by_joins(e)
+    links = Links(*_arrays(e.orderBy("a", "b")))
+    spark = e.sparkSession
+    named = spark.createDataFrame(pa.table({"edge": np.arange(len(links.a)), "a": links.a, "b": links.b})) if len(links.a) else spark.createDataFrame([], "edge long, a long, b long")
+    return named.join(_dealt_scores(spark, links), "edge").select("a", "b", "score")
 
 
 def betweenness_by_joins(edges: DataFrame) -> DataFrame:
@@ -194,26 +247,23 @@ def girvan_newman(edges: DataFrame) -> DataFrame:
     is that of the first graph. Behind a check of its size the graph is kept on the driver, which splits it, while
     the walks are dealt to tasks unless they are few; a larger graph stays a table all the way.
     """
-    first = stored(edges.select("a", "b"), "graph")
-    n = first.count()
-    if n == 0:
-        return vertices(first).select("v", F.col("v").alias("component"))
+    index, first = coded(edges)
+    spark, n = edges.sparkSession, first.count()
     if n > LOCAL_EDGES:
-        return _girvan_newman_tables(first)
-    spark = edges.sparkSession
+        return decoded(_girvan_newman_tables(first), index, "v", "component")
 
-    def scores(left: list, links: dict) -> dict:
-        if len(links) * len(left) > LOCAL_STEPS:
-            rows = betweenness(spark.createDataFrame(left, "a long, b long")).collect()
-            return {(r["a"], r["b"]): r["score"] for r in rows}
-        out = dict.fromkeys(left, 0.0)
-        for root in links:
-            for e, share in _credits(root, links).items():
-                out[e] += share / 2
-        return out
+    def scores(left: list, _) -> dict:
+        links = Links(*(np.array(x, dtype=np.int64) for x in zip(*left)))
+        if links.n * len(left) > LOCAL_STEPS:
+            found = np.zeros(len(left))
+            for r in _dealt_scores(spark, links).collect():
+                found[r["edge"]] = r["score"]
+        else:
+            found = links.scores(range(links.n)) / 2
+        return dict(zip(left, found.tolist()))
 
-    best = _removal_rounds([(r["a"], r["b"]) for r in first.collect()], scores)
-    return spark.createDataFrame(sorted(best.items()), "v long, component long")
+    best = _removal_rounds(list(zip(*(x.tolist() for x in _arrays(first)))), scores) if n else {}
+    return decoded(spark.createDataFrame(sorted(best.items()), "v long, component long"), index, "v", "component")
 
 
 def _girvan_newman_tables(first: DataFrame) -> DataFrame:
@@ -226,6 +276,6 @@ def _girvan_newman_tables(first: DataFrame) -> DataFrame:
             best, top = groups, max(q, top if top is not None else q)
         if left.isEmpty():
             return best
-        scored = stored(betweenness(left).withColumn("score", F.round("score", 9)), "betweenness")
+        scored = stored(_scored(left).withColumn("score", F.round("score", 9)), "betweenness")
         peak = scored.agg(F.max("score")).first()[0]
         left = stored(scored.where(F.col("score") < peak).select("a", "b"), "graph")

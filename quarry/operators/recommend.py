@@ -20,8 +20,9 @@ def averaged(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id", "item_id").agg(F.avg("stars").alias("stars"))
 
 
-def similarity(rated: DataFrame, key: str, by: str, min_common: int = 3) -> DataFrame:
-    """(a, b, sim): Pearson similarity of all pairs of ``key`` with enough common ``by``, where it is positive.
+def similarity(rated: DataFrame, key: str, by: str, min_common: int = 3, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim): Pearson similarity of all pairs of ``key``, or of the pairs ``near`` (a < b) only, with enough common
+    ``by``, where it is positive.
 
     Keys with too few ratings go before the join, since they can have no pair.
     """
@@ -29,7 +30,8 @@ def similarity(rated: DataFrame, key: str, by: str, min_common: int = 3) -> Data
     kept = rated.join(enough, key, "left_semi")
     a = kept.select(by, F.col(key).alias("a"), F.col("stars").alias("x"))
     b = kept.select(by, F.col(key).alias("b"), F.col("stars").alias("y"))
-    sums = a.join(b, by).where("a < b").groupBy("a", "b").agg(
+    met = a.join(b, by).where("a < b") if near is None else near.select("a", "b").join(a, "a").join(b, ["b", by])
+    sums = met.groupBy("a", "b").agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
         F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     sim = F.round(pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]), 6)
@@ -40,8 +42,8 @@ def item_similarity(rated: DataFrame, min_common: int = 3) -> DataFrame:
     return similarity(rated, "item_id", "user_id", min_common)
 
 
-def user_similarity(rated: DataFrame, min_common: int = 3) -> DataFrame:
-    return similarity(rated, "user_id", "item_id", min_common)
+def user_similarity(rated: DataFrame, min_common: int = 3, near: DataFrame | None = None) -> DataFrame:
+    return similarity(rated, "user_id", "item_id", min_common, near)
 
 
 def user_similarity_lsh(rated: DataFrame, min_items: int = 3, threshold: float = 0.01, n_hashes: int = 50) -> DataFrame:
@@ -49,7 +51,7 @@ def user_similarity_lsh(rated: DataFrame, min_items: int = 3, threshold: float =
     enough = rated.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_items).select("user_id")
     pairs = rated.join(enough, "user_id", "left_semi").select(F.col("user_id").alias("id"), F.col("item_id").alias("member"))
     near = exact_jaccard(pairs, threshold, candidate_pairs(signatures(pairs, n_hashes))).where("common >= 3").select("a", "b")
-    return user_similarity(rated).join(near, ["a", "b"], "left_semi")
+    return user_similarity(rated, near=near)
 
 
 def both_ways(model: DataFrame) -> DataFrame:
@@ -128,6 +130,11 @@ def cold_pairs(test: DataFrame, ratings: DataFrame, rule: str = "or") -> DataFra
     return met.where(cold_u | cold_i if rule == "or" else cold_u & cold_i).select("user_id", "item_id", F.lit(GRAND_AVERAGE).alias("stars"))
 
 
+def predict_all(test: DataFrame, ratings: DataFrame, model: DataFrame, k: int = 9) -> DataFrame:
+    """(user_id, item_id, stars) of known pairs by the hybrid, and of pairs with an unknown user or item by the grand average."""
+    return predict_hybrid(test, ratings, model, k).unionByName(cold_pairs(test, ratings, "or"))
+
+
 def rmse(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """One row (n, rmse) over pairs that both have."""
     both = predicted.select("user_id", "item_id", F.col("stars").alias("p")).join(truth.select("user_id", "item_id", F.col("stars").alias("t")), ["user_id", "item_id"])

@@ -36,31 +36,23 @@ BY_ITEMS = f"""{similar("item_id", "user_id")}, {BOTH},
   best AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, y) AS k FROM met),
   found AS (SELECT user_id, item_id, round(sum(stars * sim) / sum(sim), 6) AS stars FROM best WHERE k <= 9 GROUP BY 1, 2)"""
 
-LEVELS = """k1 AS (SELECT item AS items, 1 AS size, count(*) AS freq, item AS i1, NULL AS i2, NULL AS i3 FROM {b} baskets, bar GROUP BY item, s HAVING count(*) >= s),
-  good AS (SELECT b.* FROM {b} baskets b JOIN k1 ON item = items),
-  k2 AS (SELECT a.item || ',' || b.item AS items, 2 AS size, count(*) AS freq FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item, bar GROUP BY a.item, b.item, s HAVING count(*) >= s),
-  k3 AS (SELECT a.item || ',' || b.item || ',' || c.item AS items, 3 AS size, count(*) AS freq FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item
-    JOIN good c ON a.basket = c.basket AND b.item < c.item, bar GROUP BY a.item, b.item, c.item, s HAVING count(*) >= s),
-  k4 AS (SELECT a.item || ',' || b.item || ',' || c.item || ',' || d.item AS items, 4 AS size, count(*) AS freq FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item
-    JOIN good c ON a.basket = c.basket AND b.item < c.item JOIN good d ON a.basket = d.basket AND c.item < d.item, bar GROUP BY a.item, b.item, c.item, d.item, s HAVING count(*) >= s),
-  sets AS (SELECT items, size, freq FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4)"""
-PLAIN = LEVELS.replace("{b} baskets b", "baskets b").replace("{b} baskets", "baskets")
-LARGE = LEVELS.replace("{b} baskets b", "large b").replace("{b} baskets", "large")
-for _k in ("k1", "k2", "k3", "k4", "good", "sets"):
-    LARGE = LARGE.replace(f"{_k} AS (", f"L{_k} AS (").replace(f"FROM {_k} ", f"FROM L{_k} ").replace(f"FROM {_k})", f"FROM L{_k})").replace(f"JOIN {_k} ", f"JOIN L{_k} ")
-SETS = f"WITH {BASKETS}, {PLAIN} SELECT items, CAST(size AS BIGINT) AS size, freq FROM sets"
+def levels(baskets: str, name: str = "sets", bar: str = "bar", by: str = "") -> str:
+    """A CTE of all frequent itemsets (items, size, freq), whatever their size: each step joins the occurrences of frequent
+    sets with the later items of their baskets. ``by``: a column that splits the baskets, with a bar for each value."""
+    part, same = (f"{by}, ", f" AND bars.{by} = x.{by}") if by else ("", "")
+    own = f"x.{by}, " if by else ""
+    return f"""occ_{name} AS (SELECT {part}items, size, last, basket, freq FROM (SELECT {own}x.item AS items, 1 AS size, x.item AS last, x.basket, count(*) OVER (PARTITION BY {own}x.item) AS freq, bars.s
+      FROM {baskets} x, {bar} bars WHERE TRUE{same}) WHERE freq >= s
+    UNION ALL SELECT {part}items, size, last, basket, freq FROM (SELECT {own}x.items || ',' || g.item AS items, x.size + 1 AS size, g.item AS last, x.basket,
+      count(*) OVER (PARTITION BY {own}x.items, g.item) AS freq, bars.s FROM occ_{name} x JOIN {baskets} g ON g.basket = x.basket AND g.item > x.last, {bar} bars WHERE TRUE{same}) WHERE freq >= s),
+  {name} AS (SELECT {part}items, size, max(freq) AS freq FROM occ_{name} GROUP BY ALL)"""
+
+
+SETS = f"WITH RECURSIVE {BASKETS}, {levels('baskets')} SELECT items, CAST(size AS BIGINT) AS size, freq FROM sets"
 #: The same by parts of the baskets, each with the support scaled to its size.
-SON = f"""WITH {BASKETS}, p AS (SELECT *, basket % {PARTS} AS part FROM baskets), n AS (SELECT count(DISTINCT basket) AS total FROM p),
+SON = f"""WITH RECURSIVE {BASKETS}, p AS (SELECT *, basket % {PARTS} AS part FROM baskets), n AS (SELECT count(DISTINCT basket) AS total FROM p),
   bars AS (SELECT part, CAST(ceil(CAST(s * count(DISTINCT basket) AS DOUBLE) / total) AS BIGINT) AS s FROM p, bar, n GROUP BY part, s, total),
-  k1 AS (SELECT part, item, count(*) AS freq FROM p JOIN bars USING (part) GROUP BY part, item, s HAVING count(*) >= s),
-  good AS (SELECT p.*, s FROM p JOIN k1 USING (part, item) JOIN bars USING (part)),
-  k2 AS (SELECT a.part, a.item AS x, b.item AS y FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item GROUP BY a.part, a.item, b.item, a.s HAVING count(*) >= a.s),
-  k3 AS (SELECT a.part, a.item AS x, b.item AS y, c.item AS z FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item JOIN good c ON a.basket = c.basket AND b.item < c.item
-    GROUP BY a.part, a.item, b.item, c.item, a.s HAVING count(*) >= a.s),
-  k4 AS (SELECT a.item AS x, b.item AS y, c.item AS z, d.item AS w FROM good a JOIN good b ON a.basket = b.basket AND a.item < b.item JOIN good c ON a.basket = c.basket AND b.item < c.item
-    JOIN good d ON a.basket = d.basket AND c.item < d.item GROUP BY a.part, a.item, b.item, c.item, d.item, a.s HAVING count(*) >= a.s)
-  SELECT item AS items, CAST(1 AS BIGINT) AS size FROM (SELECT DISTINCT item FROM k1) UNION ALL SELECT x || ',' || y, 2 FROM (SELECT DISTINCT x, y FROM k2)
-  UNION ALL SELECT x || ',' || y || ',' || z, 3 FROM (SELECT DISTINCT x, y, z FROM k3) UNION ALL SELECT x || ',' || y || ',' || z || ',' || w, 4 FROM (SELECT DISTINCT x, y, z, w FROM k4)"""
+  {levels('p', 'sets', 'bars', 'part')} SELECT DISTINCT items, CAST(size AS BIGINT) AS size FROM sets"""
 
 
 def signatures(key: str = "item_id", by: str = "user_id", n: int = 30) -> str:
@@ -133,6 +125,16 @@ BLOOM = f"""names AS (SELECT DISTINCT n_name AS v FROM nation WHERE n_name <> ''
 STRANGE = "strange AS (SELECT user_id, item_id * 2 AS item_id FROM test UNION ALL SELECT user_id * 2, item_id * 2 FROM test)"
 TRENDING = """SELECT tag, cnt FROM (SELECT *, dense_rank() OVER (ORDER BY cnt DESC) AS r FROM (SELECT event_type || ':' || json_extract_string(props, '$.k') AS tag, count(*) AS cnt FROM events GROUP BY 1)) WHERE r <= 3"""
 
+HYBRID = f"""{similar("item_id", "user_id").replace("model AS", "plain AS")},
+  model AS (SELECT a, b, sim FROM (SELECT a, b, round(sim * pow(abs(sim), 2.5), 6) AS sim FROM plain) WHERE sim > 0), {BOTH},
+  known AS (SELECT * FROM test WHERE item_id IN (SELECT item_id FROM train)),
+  met AS (SELECT t.user_id, t.item_id, r.item_id AS y, r.stars, coalesce(w.sim, 0.2) AS sim FROM known t JOIN rated r ON t.user_id = r.user_id LEFT JOIN two w ON w.x = t.item_id AND w.y = r.item_id),
+  best AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, y) AS k FROM met),
+  cf AS (SELECT user_id, item_id, sum(stars * sim) / sum(sim) AS cf FROM best WHERE k <= 9 GROUP BY 1, 2),
+  um AS (SELECT user_id, avg(stars) AS um FROM train GROUP BY 1), im AS (SELECT item_id, avg(stars) AS im FROM train GROUP BY 1),
+  mixed AS (SELECT user_id, item_id, cf, 0.625::DOUBLE * im + (1 - 0.625::DOUBLE) * um AS avg FROM cf JOIN um USING (user_id) JOIN im USING (item_id))
+  SELECT user_id, item_id, round(CASE WHEN avg > 4.5 THEN 5.0 WHEN avg > 1.5 THEN avg ELSE round_even(round(0.6::DOUBLE * cf + 0.4::DOUBLE * avg, 9), 0) END, 6) AS stars FROM mixed"""
+
 ORACLE_SQL: dict[str, str] = {
     "ratings_avg": f"WITH {RATED} SELECT user_id, item_id, round(stars, 6) AS stars FROM rated",
     "cf_item_similarity": f"WITH {RATED}, {similar('item_id', 'user_id')} SELECT * FROM model",
@@ -151,28 +153,26 @@ ORACLE_SQL: dict[str, str] = {
     "business_avg": f"""WITH {TRAIN}, own AS (SELECT item_id, avg(stars) AS m FROM ratings GROUP BY 1), given AS (SELECT item_id, avg(stars) AS g FROM train GROUP BY 1)
   SELECT item_id, round(coalesce(g, m), 6) AS mean FROM own FULL JOIN given USING (item_id)""",
     "user_mean_of_means": f"WITH {RATED} SELECT user_id, round(avg(stars), 6) AS mean FROM rated GROUP BY 1",
-    "hybrid_predict": f"""WITH {TRAIN}, {similar("item_id", "user_id").replace("model AS", "plain AS")},
-  model AS (SELECT a, b, sim FROM (SELECT a, b, round(sim * pow(abs(sim), 2.5), 6) AS sim FROM plain) WHERE sim > 0), {BOTH},
-  known AS (SELECT * FROM test WHERE item_id IN (SELECT item_id FROM train)),
-  met AS (SELECT t.user_id, t.item_id, r.item_id AS y, r.stars, coalesce(w.sim, 0.2) AS sim FROM known t JOIN rated r ON t.user_id = r.user_id LEFT JOIN two w ON w.x = t.item_id AND w.y = r.item_id),
-  best AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, y) AS k FROM met),
-  cf AS (SELECT user_id, item_id, sum(stars * sim) / sum(sim) AS cf FROM best WHERE k <= 9 GROUP BY 1, 2),
-  um AS (SELECT user_id, avg(stars) AS um FROM train GROUP BY 1), im AS (SELECT item_id, avg(stars) AS im FROM train GROUP BY 1),
-  mixed AS (SELECT user_id, item_id, cf, 0.625::DOUBLE * im + (1 - 0.625::DOUBLE) * um AS avg FROM cf JOIN um USING (user_id) JOIN im USING (item_id))
-  SELECT user_id, item_id, round(CASE WHEN avg > 4.5 THEN 5.0 WHEN avg > 1.5 THEN avg ELSE round_even(round(0.6::DOUBLE * cf + 0.4::DOUBLE * avg, 9), 0) END, 6) AS stars FROM mixed""",
+    "hybrid_predict": f"WITH {TRAIN}, {HYBRID}",
+    "hybrid_predict_all": f"""WITH {TRAIN.replace("  test AS (", "  tested AS (")}, strange AS (SELECT user_id, item_id * 2 AS item_id FROM tested UNION ALL SELECT user_id * 2, item_id * 2 FROM tested),
+  test AS (SELECT * FROM tested UNION SELECT * FROM strange), {HYBRID}
+  UNION ALL SELECT user_id, item_id, round({GRAND_AVERAGE}::DOUBLE, 6) FROM test WHERE user_id NOT IN (SELECT user_id FROM train) OR item_id NOT IN (SELECT item_id FROM train)""",
     "cold_start_or": f"WITH {TRAIN}, {STRANGE} SELECT user_id, item_id, round({GRAND_AVERAGE}::DOUBLE, 6) AS stars FROM strange WHERE user_id NOT IN (SELECT user_id FROM train) OR item_id NOT IN (SELECT item_id FROM train)",
     "cold_start_and": f"WITH {TRAIN}, {STRANGE} SELECT user_id, item_id, round({GRAND_AVERAGE}::DOUBLE, 6) AS stars FROM strange WHERE user_id NOT IN (SELECT user_id FROM train) AND item_id NOT IN (SELECT item_id FROM train)",
     "rmse": f"WITH {TRAIN}, {BY_ITEMS} SELECT count(*) AS n, round(sqrt(avg((f.stars - t.stars) * (f.stars - t.stars))), 6) AS rmse FROM found f JOIN truth t USING (user_id, item_id)",
     "basket_build": f"WITH {BASKETS} SELECT basket, string_agg(item, ',' ORDER BY item) AS items FROM baskets GROUP BY 1",
-    "basket_build_by_item": f"WITH {BASKETS} SELECT item, count(*) AS n, min(basket) AS low, max(basket) AS high FROM baskets GROUP BY 1",
+    "basket_build_by_item": f"WITH {BASKETS} SELECT item, count(*) AS n, string_agg(CAST(basket AS VARCHAR), ',' ORDER BY basket) AS baskets FROM baskets GROUP BY 1",
+    "frequent_itemsets_by_item": f"""WITH RECURSIVE {INTERACTIONS}, customers AS (SELECT item_id AS basket, CAST(user_id AS VARCHAR) AS item FROM interactions), bar AS (SELECT {EDGE} AS s),
+  {levels('customers')} SELECT items, CAST(size AS BIGINT) AS size, freq FROM sets""",
     "basket_size_filter": f"WITH {BASKETS} SELECT * FROM baskets WHERE basket IN (SELECT basket FROM baskets GROUP BY 1 HAVING count(*) > {SMALL_BASKET})",
     "frequent_itemsets": SETS,
     "frequent_itemsets_fpgrowth": SETS,
     "frequent_itemsets_son": SETS,
     "son_candidates": SON,
     "frequent_pairs_pcy": SETS + " WHERE size = 2",
-    "itemset_overlap": f"""WITH {BASKETS}, large AS (SELECT * FROM baskets WHERE basket IN (SELECT basket FROM baskets GROUP BY 1 HAVING count(*) > {SMALL_BASKET})), {PLAIN}, {LARGE}
-  SELECT 'first' AS name, count(*) AS n FROM Lsets UNION ALL SELECT 'second', count(*) FROM sets UNION ALL SELECT 'both', count(*) FROM sets JOIN Lsets USING (items)""",
+    "itemset_overlap": f"""WITH RECURSIVE {BASKETS}, large AS (SELECT * FROM baskets WHERE basket IN (SELECT basket FROM baskets GROUP BY 1 HAVING count(*) > {SMALL_BASKET})),
+  {levels('baskets')}, {levels('large', 'lsets')}
+  SELECT 'first' AS name, count(*) AS n FROM lsets UNION ALL SELECT 'second', count(*) FROM sets UNION ALL SELECT 'both', count(*) FROM sets JOIN lsets USING (items)""",
     "minhash_signatures": f"WITH {INTERACTIONS}, {signatures()} SELECT id AS item_id, band, value FROM bands",
     "lsh_candidate_pairs": f"WITH {INTERACTIONS}, {signatures()} SELECT a, b FROM candidates",
     "lsh_jaccard_pairs": f"WITH {INTERACTIONS}, {signatures()}, {jaccard()} SELECT a, b, round(sim, 6) AS sim FROM jac JOIN candidates USING (a, b) WHERE sim >= 0.05",
@@ -211,6 +211,11 @@ ORACLE_SQL: dict[str, str] = {
     "sliding_window_fm": f"WITH {WINDOWS}, vals AS (SELECT DISTINCT window_start, CAST(user_id AS VARCHAR) AS v FROM spread WHERE user_id IS NOT NULL), {fm('window_start')}",
     "reservoir_sample": "SELECT event_id, user_id, event_type FROM events ORDER BY (event_id * 48271 + 11) % 2147483647, event_id LIMIT 100",
     "trending_top3": TRENDING,
+    "stream_reservoir": "SELECT event_id, user_id, event_type FROM events ORDER BY (event_id * 48271 + 11) % 2147483647, event_id LIMIT 100",
+    "stream_bloom": f"""WITH names AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS v FROM customer WHERE c_mktsegment = 'BUILDING'), hashed AS (SELECT {FOLD.format(t="v", m=BLOOM_BITS)} AS x FROM names),
+  bloom AS (SELECT DISTINCT CAST(unnest([{_bits}]) AS BIGINT) AS position FROM hashed), bits AS (SELECT list(position) AS bits FROM bloom),
+  xs AS (SELECT event_id, user, {FOLD.format(t="user", m=BLOOM_BITS)} AS x FROM (SELECT event_id, coalesce(CAST(user_id AS VARCHAR), '') AS user FROM events))
+  SELECT event_id, CAST(CASE WHEN user = '' THEN 0 WHEN list_has_all(bits, [{_bits}]) THEN 1 ELSE 0 END AS BIGINT) AS hit FROM xs, bits""",
     "stream_fm": f"WITH {WINDOWS}, vals AS (SELECT DISTINCT window_start, CAST(user_id AS VARCHAR) AS v FROM spread WHERE user_id IS NOT NULL), {fm('window_start')}",
     "stream_trending": TRENDING,
 }

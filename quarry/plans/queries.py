@@ -91,6 +91,13 @@ def cold_start_or(spark, d):
     return _predicted(recommend.cold_pairs(_strange(spark, d), views.train(spark, d), "or"))
 
 
+def hybrid_predict_all(spark, d):
+    """All test pairs in one result: the hybrid for known users and items, the grand average for the rest."""
+    train = views.train(spark, d)
+    pairs = views.test(spark, d).select("user_id", "item_id").unionByName(_strange(spark, d)).distinct()
+    return _predicted(recommend.predict_all(pairs, train, recommend.hybrid_model(recommend.averaged(train))))
+
+
 def cold_start_and(spark, d):
     return _predicted(recommend.cold_pairs(_strange(spark, d), views.train(spark, d), "and"))
 
@@ -108,8 +115,15 @@ def basket_build(spark, d):
 
 
 def basket_build_by_item(spark, d):
-    sets = views.baskets(spark, d).groupBy("item").agg(F.count("*").alias("n"), F.min("basket").alias("low"), F.max("basket").alias("high"))
-    return sets.select("item", "n", "low", "high")
+    """The other way round: the orders of each brand."""
+    sets = views.baskets(spark, d).groupBy("item").agg(F.array_sort(F.collect_set("basket")).alias("baskets"))
+    return sets.select("item", F.size("baskets").cast("long").alias("n"), F.array_join(F.col("baskets").cast("array<string>"), ",").alias("baskets"))
+
+
+def frequent_itemsets_by_item(spark, d):
+    """Sets of customers who share EDGE parts or more: baskets are the customers of each part."""
+    pairs = itemsets.basket_items(views.interactions(spark, d), "item_id", "user_id")
+    return _joined(itemsets.frequent_itemsets(pairs, EDGE))
 
 
 def basket_size_filter(spark, d):
@@ -316,11 +330,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ratings_avg, cf_item_similarity, cf_item_amplified, cf_user_similarity, cf_user_similarity_lsh, cf_item_predict, cf_user_predict, user_avg,
-        business_avg, user_mean_of_means, hybrid_predict, cold_start_or, cold_start_and, rmse, basket_build, basket_build_by_item, basket_size_filter,
-        frequent_itemsets, frequent_itemsets_fpgrowth, frequent_itemsets_son, son_candidates, frequent_pairs_pcy, itemset_overlap, minhash_signatures,
+        business_avg, user_mean_of_means, hybrid_predict, hybrid_predict_all, cold_start_or, cold_start_and, rmse, basket_build, basket_build_by_item, basket_size_filter,
+        frequent_itemsets, frequent_itemsets_by_item, frequent_itemsets_fpgrowth, frequent_itemsets_son, son_candidates, frequent_pairs_pcy, itemset_overlap, minhash_signatures,
         lsh_candidate_pairs, lsh_jaccard_pairs, exact_jaccard_pairs, tf, idf, tfidf_top200, user_profile, content_predict, graph_edges, graph_vertices,
         graph_degree, connected_components, modularity, label_propagation, edge_betweenness, girvan_newman, cluster_stats, nearest_centroid,
         mahalanobis_assign, kmeans, bfr_assign, bfr_rounds, nmi, bloom_build, bloom_probe, fm_estimate, sliding_window_distinct, sliding_window_fm,
-        reservoir_sample, trending_top3, replay.stream_fm, replay.stream_trending, replay.stream_reservoir,
+        reservoir_sample, trending_top3, replay.stream_fm, replay.stream_trending, replay.stream_reservoir, replay.stream_tag_reports,
+        replay.stream_bloom,
     )
 }

@@ -6,19 +6,25 @@ lives in checkpoints under the shared folder, so a lost executor or a restart lo
 
 from __future__ import annotations
 
+import heapq
 import json
 import random
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from quarry.operators.sketch import fm_estimate, trending
-from quarry.storage import shared_dir
+from quarry.functions.hashing import affine
+from quarry.operators.sketch import bloom_build, bloom_probe, fm_estimate, reservoir_sample, trending
+from quarry.storage import shared_dir, stored
 
+#: The hash by which rows are drawn: (a x + b) mod m.
+DRAW = (48271, 11, 2147483647)
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -42,12 +48,35 @@ def json_field(lines: DataFrame, field: str) -> DataFrame:
     return lines.select(value.alias(field)).where(value.isNotNull() & (value != ""))
 
 
-def keywords(stream: DataFrame, column: str, words: list[str]) -> DataFrame:
-    """The rows whose text has one of the words, whatever the case: the filter of a track source."""
+def track(stream: DataFrame, column: str, phrases: list[str], languages: list[str] = (), language: str = "lang") -> DataFrame:
+    """The rows that a track source gives: all words of one of the phrases stand in the text as whole words, whatever
+    their case and order, with or without # or @; and the row is in one of the languages, if any are named."""
+    said = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}_]+")
     any_of: Column = F.lit(False)
-    for w in words:
-        any_of = any_of | F.contains(F.lower(F.col(column)), F.lit(w.lower()))
-    return stream.where(any_of)
+    for phrase in phrases:
+        any_of = any_of | F.forall(F.array(*[F.lit(w) for w in phrase.lower().split()]), lambda w: F.array_contains(said, w))
+    return stream.where(any_of & F.col(language).isin(list(languages)) if languages else any_of)
+
+
+class ErrorPolicy(StreamingQueryListener):
+    """Listens to a session's queries: keeps the errors that ended some, and calls ``then`` with each; no restart."""
+
+    def __init__(self, then: Callable[[str], None] | None = None):
+        self.errors: list[str] = []
+        self.ended, self.then = 0, then
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended += 1
+        if event.exception is not None:
+            self.errors.append(event.exception)
+            if self.then:
+                self.then(event.exception)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -67,10 +96,11 @@ def windowed_sets(events: DataFrame, ts: str, column: str, width: str, step: str
 
 
 class Reservoir(StatefulProcessor):
-    """A reservoir of ``size`` rows and how many rows were seen; emits the kept keys after each batch of a group."""
+    """The ``size`` rows of least seeded hash of a group, the same as ``sketch.reservoir_sample`` takes, and how many rows
+    were seen; emits the kept rows after each batch."""
 
-    def __init__(self, size: int, seed: int):
-        self.size, self.seed = size, seed
+    def __init__(self, size: int):
+        self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("reservoir", "seen long, kept string")
@@ -78,25 +108,83 @@ class Reservoir(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         seen, kept = (lambda s: (s[0], json.loads(s[1])) if s else (0, []))(self.state.get())
         for pdf in rows:
-            for row in pdf.sort_values("event_id")["event_id"].tolist():
+            seen += len(pdf)
+            kept = heapq.nsmallest(self.size, [*kept, *map(list, zip(pdf["draw"].tolist(), pdf["event_id"].tolist(), pdf["user_id"].tolist(), pdf["event_type"].tolist()))], key=lambda r: r[:2])
+        self.state.update((seen, json.dumps(kept)))
+        yield pd.DataFrame([[key[0], seen, *r[1:]] for r in kept], columns=["lane", "seen", "event_id", "user_id", "event_type"])
+
+    def close(self) -> None:
+        pass
+
+
+def reservoir(events: DataFrame, size: int = 100, lanes: int = 8) -> DataFrame:
+    """(lane, seen, event_id, user_id, event_type): a reservoir for each of some lanes that rows are dealt to, so no task
+    sees all rows. ``merged`` makes one of them."""
+    rows = events.select("event_id", "user_id", "event_type", affine(F.col("event_id"), *DRAW).alias("draw"))
+    return rows.withColumn("lane", F.pmod(F.xxhash64("event_id"), F.lit(lanes)).cast("int")).groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=Reservoir(size), outputStructType="lane int, seen long, event_id long, user_id long, event_type string", outputMode="Update", timeMode="None"
+    )
+
+
+def merged(lanes: DataFrame, size: int = 100) -> DataFrame:
+    """One reservoir of all rows from the lanes' reservoirs: the rows of least hash among them are those of all."""
+    return reservoir_sample(lanes.select("event_id", "user_id", "event_type"), "event_id", size, *DRAW)
+
+
+class TagReservoir(StatefulProcessor):
+    """One reservoir of ``size`` tagged events, with the counts of their tags, which fall when an event is evicted.
+
+    The n-th tagged event is kept while n <= size, then with a chance of size / n, in place of a random one. Every
+    tagged event, kept or not, gives a report: the tags whose count is among the ``top`` highest distinct counts.
+    """
+
+    def __init__(self, size: int, top: int, seed: int):
+        self.size, self.top, self.seed = size, top, seed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("tags", "seen long, kept string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        seen, kept = (lambda s: (s[0], json.loads(s[1])) if s else (0, []))(self.state.get())
+        counts = Counter(t for tags in kept for t in tags)
+        events = sorted((e for pdf in rows for e in zip(pdf["event_id"].tolist(), map(list, pdf["tags"]))), key=lambda e: e[0])
+        for begin in range(0, len(events), 1000):
+            reports = []
+            for event_id, tags in events[begin : begin + 1000]:
                 seen += 1
-                if len(kept) < self.size:
-                    kept.append(row)
-                else:
-                    draw = random.Random(self.seed * 1_000_003 + seen)
-                    if draw.randint(1, seen) <= self.size:
-                        kept[draw.randrange(self.size)] = row
+                self.take(seen, tags, kept, counts)
+                highest = sorted(set(counts.values()), reverse=True)[: self.top]
+                reports += [(seen, event_id, t, n) for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n in highest]
+            yield pd.DataFrame(reports, columns=["seen", "event_id", "tag", "cnt"])
         self.state.update((seen, json.dumps(kept)))
-        yield pd.DataFrame({"lane": [key[0]] * len(kept), "seen": [seen] * len(kept), "event_id": kept})
+
+    def take(self, seen: int, tags: list, kept: list, counts: Counter) -> None:
+        """Keep the event or not, and the counts with it."""
+        draw = random.Random(self.seed * 1_000_003 + seen)
+        if len(kept) < self.size:
+            kept.append(tags)
+        elif draw.randint(1, seen) <= self.size:
+            slot = draw.randrange(self.size)
+            counts.subtract(kept[slot])
+            kept[slot] = tags
+        else:
+            return
+        counts.update(tags)
+        for t in [t for t, n in counts.items() if n == 0]:
+            del counts[t]
 
     def close(self) -> None:
         pass
 
 
-def reservoir(events: DataFrame, size: int = 100, seed: int = 1, lanes: int = 8) -> DataFrame:
-    """(lane, seen, event_id): a reservoir for each of some lanes that rows are dealt to, so no task sees all rows."""
-    return events.withColumn("lane", F.pmod(F.xxhash64("event_id"), F.lit(lanes)).cast("int")).groupBy("lane").transformWithStateInPandas(
-        statefulProcessor=Reservoir(size, seed), outputStructType="lane int, seen long, event_id long", outputMode="Update", timeMode="None"
+def tag_reports(events: DataFrame, size: int = 100, top: int = 3, seed: int = 1) -> DataFrame:
+    """(seen, event_id, tag, cnt): the trending tags of the reservoir after each tagged event of (event_id, tags).
+
+    A report on each event is one sequence by its meaning, so there is one state: ``size`` events and their tags.
+    """
+    tagged = events.where(F.size("tags") > 0).select("event_id", "tags", F.lit(0).alias("all"))
+    return tagged.groupBy("all").transformWithStateInPandas(
+        statefulProcessor=TagReservoir(size, top, seed), outputStructType="seen long, event_id long, tag string, cnt long", outputMode="Append", timeMode="None"
     )
 
 
@@ -122,16 +210,41 @@ def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trending(last)
 
 
-def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lane, seen, event_id) after the last batch of the event stream."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocks_db(spark: SparkSession):
+    """The state store that keyed state needs, for the queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = _collected(reservoir(file_events(spark, sf_dir)), "update", "stream-reservoir")
+        yield
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, user_id, event_type): a uniform sample of 100 rows of the event stream."""
+    with rocks_db(spark):
+        rows = _collected(reservoir(file_events(spark, sf_dir)), "update", "stream-reservoir")
     last = rows.groupBy("lane").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["lane", "batch"]).select("lane", "seen", "event_id")
+    return merged(rows.join(last, ["lane", "batch"]))
+
+
+def tags_of(events: DataFrame) -> DataFrame:
+    """(event_id, tags): the tag of each event that has one."""
+    tag = F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))
+    return events.where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", F.array(tag).alias("tags"))
+
+
+def stream_tag_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seen, event_id, tag, cnt): the trending report after every tagged event of the stream."""
+    with rocks_db(spark):
+        return _collected(tag_reports(tags_of(file_events(spark, sf_dir))), "append", "stream-tags").drop("batch")
+
+
+def stream_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, hit): events of the stream whose user may be among the customers of one market segment."""
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user"))
+    asked = file_events(spark, sf_dir).select("event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"))
+    found = bloom_probe(asked, "user", bloom_build(known, "user").transform(lambda b: stored(b, "bloom")))
+    return _collected(found.select("event_id", F.col("hit").cast("long").alias("hit")), "append", "stream-bloom").drop("batch")
