@@ -22,8 +22,10 @@ from quarry.llm.arrow import bounded, chunks, text_list
 
 NO_RANK = 1 << 30
 NO_PAIR = NO_RANK << 32
-#: Pieces that a worker remembers before it starts anew, and tree leaves that it builds at once.
-MEMORY, FOREST_CELLS = 120_000, 200_000
+#: Pieces that a worker remembers before it starts anew, their characters, and tree leaves that it builds at once.
+MEMORY, MEMORY_CHARS, FOREST_CELLS = 120_000, 8_000_000, 200_000
+#: Symbols of a word beyond which it has a tree for itself.
+LONG = 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -92,6 +94,60 @@ class Forest:
         return ids[kept].astype(np.int32), np.cumsum(kept.sum(axis=1))
 
 
+class LongWord:
+    """The same segment tree over one long word, which takes all pairs of the lowest rank at once.
+
+    A merge makes a symbol that no earlier rank can have in a pair, so the pairs of one rank are what the root would
+    yield one after the other; of pairs that overlap, every second one from the left.
+    """
+
+    def __init__(self, symbols: np.ndarray, bpe: Bpe):
+        n = len(symbols)
+        self.bpe, self.size = bpe, 1 << max(1, (n - 1).bit_length())
+        self.ids = np.append(symbols.astype(np.int64), -1)  # the last: past the end
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)
+        self.tree = np.full(2 * self.size, NO_PAIR, dtype=np.int64)
+        self.put(np.arange(n), bpe.rank_of(self.ids[:n], self.ids[1:]))
+
+    def put(self, leaf: np.ndarray, rank: np.ndarray | None) -> None:
+        """Set leaves and renew the nodes above them."""
+        k = self.size + leaf
+        self.tree[k] = NO_PAIR if rank is None else np.where(rank < NO_RANK, rank << 32 | leaf, NO_PAIR)
+        while len(k) and k[0] > 1:
+            k = k >> 1
+            k = k[np.append(True, k[1:] != k[:-1])]
+            self.tree[k] = np.minimum(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def lowest(self) -> np.ndarray:
+        """The leaves of the root's rank, from left to right, without those that overlap one that is taken."""
+        rank, nodes = self.tree[1] >> 32, np.array([1])
+        while nodes[0] < self.size:
+            nodes = (2 * nodes[:, None] + np.arange(2)).ravel()
+            nodes = nodes[self.tree[nodes] >> 32 == rank]
+        at = nodes - self.size
+        fresh = np.append(True, self.after[at[:-1]] != at[1:])
+        place = np.arange(len(at))
+        return at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+
+    def merged(self) -> np.ndarray:
+        """The ids once no pair is left to merge."""
+        n = len(self.after)
+        while (top := int(self.tree[1])) < NO_PAIR:
+            i = self.lowest()
+            j = self.after[i]
+            k = self.after[j]
+            self.ids[i], self.ids[j] = self.bpe.made[top >> 32], -1
+            self.after[i] = k
+            inner = k < n
+            self.before[k[inner]] = i[inner]
+            self.put(j, None)
+            self.put(i, self.bpe.rank_of(self.ids[i], self.ids[self.after[i]]))
+            h = self.before[i]
+            h = h[h >= 0]
+            self.put(h, self.bpe.rank_of(self.ids[h], self.ids[self.after[h]]))
+        return self.ids[self.ids >= 0].astype(np.int32)
+
+
 class Bpe:
     """A byte-level vocabulary with ends of words, from the JSON text of its file."""
 
@@ -128,6 +184,7 @@ class Bpe:
         self.words: dict = {i: (np.int32(i).tobytes(), t + " ") for t, i in self.special.items()}
         self.piece_ids: dict[str, bytes] = {"": b""}
         self.piece_tokens: dict[str, str] = {"": ""}
+        self.chars = 0
 
     def merge(self, words: list[str]) -> None:
         """Encode pre-tokens and remember them; words of like length share a forest."""
@@ -136,6 +193,12 @@ class Bpe:
         for k, w in enumerate(coded):
             sizes.setdefault(1 << (len(w) - 1).bit_length(), []).append(k)
         for size, group in sizes.items():
+            if size > LONG:
+                for k in group:
+                    text = np.frombuffer(coded[k], dtype=np.uint8)
+                    ids = LongWord(np.append(self.inner[text[:-1]], self.final[text[-1]]), self).merged()
+                    self.words[words[k]] = ids.tobytes(), " ".join([self.token[i] for i in ids.tolist()]) + " "
+                continue
             step = max(1, FOREST_CELLS // size)
             for a in range(0, len(group), step):
                 part = group[a : a + step]
@@ -185,6 +248,7 @@ class Bpe:
         words = self.words
         self.merge(list({x for row in parts for x in row if x not in words}))
         for piece, row in zip(pieces, parts):
+            self.chars += len(piece)
             if len(row) == 1:
                 self.piece_ids[piece], self.piece_tokens[piece] = words[row[0]]
             else:
@@ -194,7 +258,7 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids of each text as 32-bit integers, and the text that they decode to."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.piece_ids) > MEMORY:
+        if len(self.piece_ids) > MEMORY or self.chars > MEMORY_CHARS:
             self.forget()
         if new := [p for p in set().union(*split) if p not in self.piece_ids]:
             self.learn(new)

@@ -1,9 +1,12 @@
 """Token counts by a unigram model: one dynamic program over a trie of the distinct pre-tokens.
 
 Pre-tokens are the words between white space, each with the word mark in front. The distinct ones of a batch go into
-a trie. The forward score of a trie node, the best sum of piece scores over all ways to cut the prefix that it spells,
-depends on its ancestors only, so it is computed once however many pre-tokens share the prefix. A terminal node keeps
-the number of pieces of its best cut; a document's count is the sum over its pre-tokens.
+a radix trie: in order, each with how much it shares with the one before and the one after, so that an edge is the rest
+of a pre-token and a walk along the order is the trie depth first. The forward score of a trie node, the best sum of
+piece scores over all ways to cut the prefix that it spells, depends on its ancestors only, so it is computed once
+however many pre-tokens share the prefix. A terminal node keeps the number of pieces of its best cut; a document's count
+is the sum over its pre-tokens. Scores are kept only where a later pre-token branches off, so a single word of many
+megabytes takes no more memory than itself.
 
 Ties go to fewer pieces. Characters that no piece covers cost one token for each UTF-8 byte.
 
@@ -23,8 +26,8 @@ from quarry.llm.arrow import bounded, chunks, text_list
 MARK = "▁"
 #: Cost of one byte of an uncovered character, in millionths of a nat: dearer than any piece.
 BYTE_COST = 30_000_000
-#: Counts that a worker remembers; beyond it starts anew.
-MEMORY = 400_000
+#: Counts that a worker remembers, and characters of their pre-tokens; beyond it starts anew. Longer ones are not kept.
+MEMORY, LONGEST_KEPT = 400_000, 100
 
 
 def costs(pieces: list[str]) -> dict[str, int]:
@@ -36,8 +39,26 @@ def costs(pieces: list[str]) -> dict[str, int]:
     return out
 
 
+def shared_prefix(a: str, b: str) -> int:
+    """How many characters two texts have in common from their starts."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    step = 8
+    while a[low : low + step] == b[low : low + step]:
+        low, step = low + step, 2 * step
+    high = min(high, low + step)
+    while high - low > 1:  # a[:low] == b[:low], a[:high] != b[:high]
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 class Trie:
-    """The distinct pre-tokens as nested dicts; a terminal's entry under the empty string is its pre-token.
+    """Forward scores over the radix trie of distinct pre-tokens.
 
     A forward score is one integer, cost times 2**32 plus pieces, so that the lesser cost wins and then fewer pieces.
     """
@@ -48,33 +69,29 @@ class Trie:
 
     def count(self, pretokens) -> dict[str, int]:
         """Pieces of the best cut of each pre-token; forward scores are shared along common prefixes."""
-        root: dict = {}
-        for word in pretokens:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
+        order = sorted(pretokens)
+        edges = [0, *[shared_prefix(a, b) for a, b in zip(order, order[1:])], 0]
         out: dict[str, int] = {}
         get, longest, unknown = self.cost.get, self.longest, (BYTE_COST << 32) + 1
-        # Depth first; best[i] is the score of the prefix of length i on the path to the node at hand, tail its end.
+        # best[i] is the score of the prefix of length i, as far as the next pre-token shares it.
         best = [0]
-        stack = [(root, 0, "")]
-        while stack:
-            node, depth, tail = stack.pop()
-            if depth:
-                del best[depth:]
-                last = tail[-1]
-                low = best[depth - 1] + (unknown if last < "\x80" else unknown * len(last.encode()))
-                at = depth - len(tail)
-                for k in range(len(tail)):
-                    if (x := get(tail[k:])) is not None and best[at + k] + x < low:
-                        low = best[at + k] + x
-                best.append(low)
-            for c, child in node.items():
-                if c:
-                    stack.append((child, depth + 1, (tail + c)[-longest:]))
-                else:
-                    out[child] = best[depth] & 0xFFFFFFFF
+        for word, depth, keep in zip(order, edges, edges[1:]):
+            del best[depth + 1 :]
+            near = best[-longest:]  # the scores of the prefixes before the place at hand, up to ``longest`` of them
+            for end in range(depth + 1, len(word) + 1):
+                last = word[end - 1]
+                low = near[-1] + (unknown if last < "\x80" else unknown * len(last.encode()))
+                start = end - len(near)
+                for score in near:
+                    if (x := get(word[start:end])) is not None and score + x < low:
+                        low = score + x
+                    start += 1
+                near.append(low)
+                if len(near) > longest:
+                    del near[0]
+                if end <= keep:
+                    best.append(low)
+            out[word] = near[-1] & 0xFFFFFFFF
         return out
 
 
@@ -108,8 +125,12 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text") -> Data
             if len(known) > MEMORY:
                 known.clear()
             new = {MARK + w for ws in split for w in set(ws) if w not in known}
-            known.update((w[1:], n) for w, n in trie.count(new).items())
+            found = trie.count(new)
+            known.update((w[1:], n) for w, n in found.items())
             n_tokens = [sum(map(known.__getitem__, ws)) for ws in split]
+            for w in found:
+                if len(w) > LONGEST_KEPT:
+                    del known[w[1:]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(list(map(len, split)), pa.int64()), pa.array(n_tokens, pa.int64())], [*own, "n_pretokens", "n_tokens"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own], "n_pretokens long", "n_tokens long"])

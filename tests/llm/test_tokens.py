@@ -1,7 +1,10 @@
 """Token counts and BPE against plain versions and the tokenizers library."""
 
 import hashlib
+import os
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -36,6 +39,40 @@ def test_bpe_equals_library(library):
         assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want), text
 
 
+def test_long_words_equal_library_in_time(library):
+    own = bpe.Bpe(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (257, 300, 1000, 5000)]
+    words += ["a" * n for n in (258, 259, 4001)] + ["ab" * 600 + "a", "the" * 3000, "é日" * 500, "abc" * 171 + "aab" * 90]
+    for word, (ids, _) in zip(words, own.encode(words)):
+        assert np.frombuffer(ids, dtype=np.int32).tolist() == library.encode(word, add_special_tokens=False).ids, word[:20]
+    long = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    ids, _ = own.encode([long])[0]
+    assert time.time() - began < 60
+    assert "".join(own.token[i] for i in np.frombuffer(ids, dtype=np.int32).tolist()).replace("</w>", "") == long
+
+
+def test_long_word_is_counted_in_little_memory():
+    pieces = token_counts.piece_list(queries.tokenizer_path("piece_bpe_32k.model"))
+    draw = random.Random(6)
+    word = token_counts.MARK + "".join(draw.choice("abcdefghijklmnop日本語") for _ in range(400_000))
+    trie = token_counts.Trie(token_counts.costs(pieces))
+    tracemalloc.start()
+    n = trie.count({word, word[:100_000], word[:100_000] + "x"})[word]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < n < len(word) * 3 and peak < 20_000_000
+
+
+def test_shared_prefix():
+    draw = random.Random(7)
+    for _ in range(500):
+        a, b = ("".join(draw.choice("ab") for _ in range(draw.randrange(9))) for _ in range(2))
+        p = "c" * draw.randrange(60)
+        assert token_counts.shared_prefix(p + a, p + b) == len(os.path.commonprefix([p + a, p + b]))
+
+
 OWN = []
 
 
