@@ -7,8 +7,9 @@ wavelet tree with rank tables, and suffix positions sampled at every SAMPLE-th p
 symbol by symbol from their ends; occurrences are located by walking to a sampled position; overlapping occurrences
 are merged to the spans to remove.
 
-The phrases are broadcast in blocks of BLOCK_WORDS words, so a worker holds one index and one block at a time
-whatever the size of the benchmark. Documents are never shuffled.
+The phrases are broadcast in blocks of BLOCK_WORDS words. A worker holds one index and one block at a time whatever the
+size of the benchmark: it lets go of a block before it reads the next one from the executor's disk; a single block is
+kept. Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no phrase; a null item_id
 counts as an empty string; equal item_ids count once; repeated documents are each judged; an empty table of either
@@ -18,6 +19,7 @@ kind gives no hits; columns of the input called like a new one are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +189,18 @@ class Phrases:
         return doc, first, self.lengths[phrase], phrase
 
 
+def each_block(blocks: list, width: int, kept: dict) -> Iterator[Phrases]:
+    """The phrases of one broadcast block after the other; what a block took is free again before the next one is read."""
+    for b in blocks:
+        if len(blocks) > 1:
+            yield Phrases(b.value, width)
+            vars(b).pop("_value", None)  # else the worker would keep all blocks
+        else:
+            if not kept:
+                kept[0] = Phrases(b.value, width)
+            yield kept[0]
+
+
 def merged(first: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping or touching occurrences as spans (first word, word after the last)."""
     out: list[tuple[int, int]] = []
@@ -221,14 +235,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text: s
     new = {k: v for k, v in NEW.items() if clean or k != "clean_text"}
     own = [c for c in docs.columns if c not in (text, *new)]
 
-    def shard(part: list[pa.RecordBatch]):
+    def shard(part: list[pa.RecordBatch], kept: dict):
         whole = pa.Table.from_batches(part)
         raw = [t for b in part for t in byte_list(b, text)]
         words = [split_words(t) for t in raw]
         counts = np.array([len(w) for w in words], dtype=np.int64)
         found: dict[int, tuple[list, list, set]] = {}
-        for b in blocks:
-            phrases = Phrases(b.value, width)
+        for phrases in each_block(blocks, width, kept):
             for d, f, n, p in zip(*(x.tolist() for x in phrases.find(words))):
                 firsts, lengths, items = found.setdefault(d, ([], [], set()))
                 firsts.append(f)
@@ -247,15 +260,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text: s
         yield from pa.Table.from_arrays([*kept.columns, *columns], [*own, *new]).combine_chunks().to_batches()
 
     def run(batches):
-        part, size = [], 0
+        part, size, kept = [], 0, {}
         for batch in chunks(batches, text):
             part.append(batch)
             size += batch.nbytes
             if size >= SHARD_WORDS * 6:
-                yield from shard(part)
+                yield from shard(part, kept)
                 part, size = [], 0
         if part:
-            yield from shard(part)
+            yield from shard(part, kept)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own], *[f"`{k}` {v}" for k, v in new.items()]])
     return docs.select(*[f"`{c}`" for c in own], f"`{text}`").mapInArrow(run, schema)

@@ -77,18 +77,17 @@ def _fits(rule: str) -> str:
 
 
 _longest = sorted(url_filters.RULES, key=lambda r: (-len(r[1]), r[1]))
-URLS = f"""WITH rest AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages),
+URLS = f"""WITH RECURSIVE rest AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages),
   parts AS (SELECT page_id, translate(regexp_extract(r, '(?s)^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM rest),
   ruled AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in _longest)} END AS rule, CASE {" ".join(f"WHEN {_fits(r)} THEN '{v}'" for v, r in _longest)} END AS said,
     list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
       list_transform(list_filter(regexp_split_to_array(path, '[^0-9A-Za-z]+'), lambda x: x <> ''), lambda x: 'p:' || x))) AS tokens FROM parts),
   known AS (SELECT row_number() OVER () AS id, tokens, said FROM ruled WHERE said IS NOT NULL), total AS (SELECT count(*) AS n, CAST(ceil(0.01::DOUBLE * count(*)) AS BIGINT) AS least FROM known),
-  tok AS (SELECT id, said, unnest(tokens) AS t FROM known),
-  sets AS (SELECT id, said, t AS a, t AS b FROM tok UNION ALL SELECT x.id, x.said, x.t, y.t FROM tok x JOIN tok y ON x.id = y.id AND x.t < y.t),
-  counts AS (SELECT a, b, said, count(*) AS c, sum(count(*)) OVER (PARTITION BY a, b) AS whole FROM sets GROUP BY 1, 2, 3),
-  rules AS (SELECT a, b, said, c / whole AS confidence, c / n AS support FROM counts, total WHERE c >= least AND c / whole >= 0.9::DOUBLE),
+  sets AS (SELECT id, said, tokens, [] :: VARCHAR[] AS s, '' AS last FROM known UNION ALL SELECT id, said, tokens, list_append(s, t), t FROM (SELECT *, unnest(tokens) AS t FROM sets) WHERE t > last),
+  counts AS (SELECT s, said, count(*) AS c, sum(count(*)) OVER (PARTITION BY s) AS whole FROM sets WHERE len(s) > 0 GROUP BY 1, 2),
+  rules AS (SELECT s, said, c / whole AS confidence, c / n AS support FROM counts, total WHERE c >= least AND c / whole >= 0.9::DOUBLE),
   fired AS (SELECT page_id, said AS mined, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, support DESC, (said = 'block') DESC) AS k
-    FROM (SELECT page_id, tokens FROM ruled WHERE said IS NULL) q JOIN rules ON list_contains(tokens, a) AND list_contains(tokens, b))
+    FROM (SELECT page_id, tokens FROM ruled WHERE said IS NULL) q JOIN rules ON list_has_all(tokens, s))
   SELECT page_id, host, path, rule, coalesce(r.said, mined, 'allow') AS verdict, CASE WHEN r.said IS NOT NULL THEN 'rule' WHEN mined IS NOT NULL THEN 'mined' ELSE 'default' END AS by
   FROM ruled r LEFT JOIN (SELECT * FROM fired WHERE k = 1) f USING (page_id)"""
 

@@ -1,9 +1,9 @@
 """Sharding by fixed virtual slots.
 
-A record's key is hashed into one of a few thousand slots, for ever. A versioned map says which shard holds which
-slot. Growing or rebalancing edits the map and moves whole slots; records are never hashed anew.
+A record's key is hashed into one of a few thousand slots, for ever. A versioned map, a stored table, says which shard
+holds which slot. Growing or rebalancing edits the map and moves whole slots; records are never hashed anew.
 
-Defined results: a null key counts as -1; a null text has 0 bytes, so size 1, and checksum 0; repeated rows are all
+Defined results: keys are integers, or are cast to them (one that can't be cast raises); a null key counts as -1; a null text has 0 bytes, so size 1, and checksum 0; repeated rows are all
 kept, next to each other; an empty table gives an empty result; further columns are not read, so their names cannot
 clash.
 """
@@ -15,6 +15,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import stored
+
 SLOTS = 4096
 #: Multiplicative hash modulo the prime 2^31 - 1, so that any SQL engine can compute it in 64-bit integers.
 PRIME, FACTORS = 2147483647, (48271, 69621)
@@ -106,10 +108,11 @@ def assign(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "te
     grown_shard. Places count up slot by slot: each slot is ordered by itself, and the 4096-row slot table gives
     where it starts, so no task ever holds a shard.
     """
-    spark = df.sparkSession
     now = slot_map(shards, slots)
-    after = grown(now, shards)
-    owners = spark.createDataFrame(list(zip(range(slots), now, after)), "virtual_slot int, shard int, grown_shard int")
+    # The map is a table of versions; a later run edits it by another version.
+    versions = stored(map_table(df.sparkSession, {shards: now, shards + 1: grown(now, shards)}), "slot-map")
+    held = lambda version, name: versions.where(F.col("version") == version).select("virtual_slot", F.col("shard").alias(name))
+    owners = held(shards, "shard").join(F.broadcast(held(shards + 1, "grown_shard")), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     table = (
         owners.join(F.broadcast(slot_bytes(df, key, text, slots)), "virtual_slot")

@@ -55,22 +55,19 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(h, p))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules from ``labelled`` (tokens, verdict): tokens, verdict, confidence, support.
 
-    FP-growth is distributed by item groups; a token under ``min_support`` never enters a tree. Keeps rules whose
-    consequent is a verdict and whose antecedent has 1 to ``max_tokens`` tokens.
+    FP-growth is distributed by item groups; a token under ``min_support`` never enters a tree. Keeps all rules whose
+    consequent is a verdict, pruned by support and confidence alone.
     """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     verdict = F.element_at("consequent", 1)
-    return model.associationRules.where(
-        verdict.startswith("v:") & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda t: t.startswith("v:"))
-    ).select(F.array_sort("antecedent").alias("tokens"), F.substring(verdict, 3, 99).alias("verdict"), "confidence", "support")
+    return model.associationRules.where(verdict.startswith("v:") & ~F.exists("antecedent", lambda t: t.startswith("v:"))).select(F.array_sort("antecedent").alias("tokens"), F.substring(verdict, 3, 99).alias("verdict"), "confidence", "support")
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, min_support: float = 0.01, min_confidence: float = 0.9,
-          max_tokens: int = 2) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules=RULES, min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
     """Every row of ``pages`` with host, path, rule, verdict and by (``rule``, ``mined`` or ``default``).
 
     The inverted index maps a token to the mined rules that need it. It is probed once for each distinct set of
@@ -83,7 +80,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, min_support: float =
     seen = seen.select("row", "host", "path", rule.alias("rule"), said.alias("said"), tokens(F.col("host"), F.col("path")).alias("tokens"))
     labelled = seen.where(F.col("said").isNotNull()).select("tokens", F.col("said").alias("verdict"))
     # The rules are few by support: each rule takes a min_support share of the labelled URLs.
-    mined = stored(mine(labelled, min_support, min_confidence, max_tokens), "url-rules")
+    mined = stored(mine(labelled, min_support, min_confidence), "url-rules")
     index = mined.withColumn("id", F.array_join("tokens", " ")).select(
         F.explode("tokens").alias("token"), "id", F.size("tokens").alias("n"), "verdict", "confidence", "support")
     vocabulary = mined.select(F.explode("tokens").alias("t")).agg(F.coalesce(F.array_sort(F.collect_set("t")), F.array().cast("array<string>")).alias("v"))

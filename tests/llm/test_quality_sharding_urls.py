@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -163,7 +164,7 @@ def test_url_mining_against_brute_force(spark):
     known = [(tokens(r), r["verdict"]) for r in got if r["rule"]]
     whole, both = Counter(), Counter()
     for t, v in known:
-        for s in {frozenset([a, b]) for a in t for b in t}:
+        for s in {frozenset(c) for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}:
             whole[s] += 1
             both[s, v] += 1
     rules = [(n / whole[s], n / len(known), v == "block", s, v) for (s, v), n in both.items() if n >= 0.01 * len(known) and n / whole[s] >= 0.9]
@@ -173,6 +174,33 @@ def test_url_mining_against_brute_force(spark):
             assert r["verdict"] == (max(fired, key=lambda x: x[:3])[4] if fired else "allow"), r
 
 
+def test_url_rules_of_three_tokens(spark):
+    """Only the three tokens together tell the verdict; a rule of two would be too unsure."""
+    pages = []
+    for k in range(240):
+        host, a, b = ("x.net", "example.com")[k % 2], ("en", "es")[k // 2 % 2], ("one", "two")[k // 4 % 2]
+        pages.append((k, f"http://{host}/{a}/{b}"))
+    pages += [(900, "http://example.org/en/one"), (901, "http://example.org/es/one"), (902, None), (902, None), (903, "http://net.org/" + "es/" * 20_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string").withColumn("verdict", F.lit(1)).withColumn("known", F.lit(2))
+    rules = (("allow", "com/"), ("block", "example.com/en/one"), ("allow", "net/"))
+    got = url_filters.judge(frame, rules=rules).collect()
+    assert len(got) == len(pages)
+    by_id = {r["page_id"]: r["verdict"] for r in got}
+    assert by_id[900] == "block" and by_id[901] == by_id[902] == by_id[903] == "allow"
+    mined = url_filters.mine(spark.createDataFrame([(["a", "b", "c"], "block")] * 9 + [(["a", "b"], "allow"), (["a", "c"], "allow"), (["b", "c"], "allow")] * 4, "tokens array<string>, verdict string"), 0.1, 0.9)
+    assert [tuple(r["tokens"]) for r in mined.where("verdict = 'block'").collect()] == [("a", "b", "c")]
+
+
+def test_slot_map_is_stored(spark, documents):
+    from quarry import storage
+
+    before = len(storage._written)
+    sharding.assign(documents([(1, "x")])).collect()
+    path = next(p for p in storage._written[before:] if "slot-map" in p)
+    table = spark.read.parquet(path)
+    assert {(r["version"], r["count"]) for r in table.groupBy("version").count().collect()} == {(16, sharding.SLOTS), (17, sharding.SLOTS)}
+
+
 def test_url_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(pages).count() == 0

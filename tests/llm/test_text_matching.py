@@ -79,6 +79,26 @@ def test_decontamination_in_blocks_and_shards(spark, documents, monkeypatch):
     assert parts == whole
 
 
+def test_one_block_at_a_time_is_kept():
+    class Shared:
+        """Stands for a broadcast: reads its value when asked and keeps it."""
+
+        def __init__(self, block):
+            self.block = block
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                self._value = list(self.block)
+            return self._value
+
+    blocks = [Shared([(str(k), (b"a", b"b%d" % k))]) for k in range(3)]
+    for k, _ in enumerate(decontam.each_block(blocks, 2, {})):
+        assert [hasattr(b, "_value") for b in blocks] == [j == k for j in range(3)]
+    kept = {}
+    assert next(decontam.each_block(blocks[:1], 2, kept)) is next(decontam.each_block(blocks[:1], 2, kept))
+
+
 def test_fm_index():
     draw = np.random.default_rng(3)
     for top, n in ((1, 50), (3, 400), (40, 900)):

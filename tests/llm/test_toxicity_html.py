@@ -1,5 +1,6 @@
 """Toxicity on held-out rows, and page extraction."""
 
+import math
 import random
 import time
 import zlib
@@ -38,6 +39,52 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in test) >= 0.97 * len(test)
 
 
+def brute_lexicon(rows):
+    """Weights of entries from (text, toxic) rows, word by word."""
+    n = [sum(1 for _, x in rows if x == k) for k in (0, 1)]
+    found = [{}, {}]
+    for t, x in rows:
+        for w in set(toxicity.folded(t).split()):
+            for e in [f" {w} ", *(f" {w[:k]}" for k in range(4, min(8, len(w)) + 1))]:
+                found[x][e] = found[x].get(e, 0) + 1
+    least = max(toxicity.MIN_DOCS, math.ceil(toxicity.MIN_SHARE * n[1]))
+    out = {e: math.log((c + 0.5) / (n[1] + 1)) - math.log((found[0].get(e, 0) + 0.5) / (n[0] + 1)) for e, c in found[1].items() if c >= least}
+    return {e: w for e, w in out.items() if w >= toxicity.MIN_WEIGHT}
+
+
+def brute_weigh(text, weights):
+    """Words, hits and weight of a text, each entry and each phrase sought by itself."""
+    text = toxicity.folded(text)
+    n = len(text.split())
+    best = {}
+    for e, w in weights.items():
+        at = text.find(e)
+        while at >= 0:
+            best[at] = max(best.get(at, 0.0), w)
+            at = text.find(e, at + 1)
+    for phrase in map(toxicity.folded, toxicity.EXCEPTIONS):
+        at = text.find(phrase)
+        while at >= 0:
+            best = {k: w for k, w in best.items() if not at <= k < at + len(phrase) - 1}
+            at = text.find(phrase, at + 1)
+    return n, len(best), sum(best.values())
+
+
+def test_toxicity_against_brute_force(spark, documents):
+    rows, labels = toxic_corpus(400)
+    rows = [(i, t + (" the trash can and a class clown" if i % 3 else " trash")) for i, t in rows]
+    truth = dict(labels)
+    train = [(t, truth[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    weights = brute_lexicon(train)
+    got = toxicity.learn(spark.createDataFrame(train, "text string, toxic int"))
+    assert got == pytest.approx(weights) and len(weights) > 5
+    weights |= {" trash ": 2.0, " clown": 1.5, " trash": 1.7}
+    out = {r["doc_id"]: r for r in toxicity.weigh(documents(rows), weights).collect()}
+    for i, t in rows:
+        n, hits, weight = brute_weigh(t, weights)
+        assert (out[i]["n_words"], out[i]["n_matched"]) == (n, hits) and out[i]["weight"] == pytest.approx(weight)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, documents):
     rows, labels = toxic_corpus(300)
     frame = spark.createDataFrame(labels, "doc_id long, toxic int")
