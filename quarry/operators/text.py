@@ -24,7 +24,9 @@ def term_frequency(docs: DataFrame, key: str, text: str, stopwords: list[str] =
     """(key, word, n, tf): words that a key has ``min_count`` times or more, in relation to its most frequent word."""
     words = docs.select(F.col(key).alias("key"), F.explode(tokens(F.col(text), stopwords)).alias("word"))
     counts = words.groupBy("key", "word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    return counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy("key")))
+    # Joined rather than windowed: a key that has most of the words is no single task.
+    most = counts.groupBy("key").agg(F.max("n").alias("most"))
+    return counts.join(most, "key").select("key", "word", "n", (F.col("n") / F.col("most")).alias("tf"))
 
 
 def inverse_frequency(tf: DataFrame, total: DataFrame) -> DataFrame:
