@@ -25,8 +25,9 @@ BUCKETS = 16384
 #: Occurrences that each bucket is taken to have besides its own, as likely trusted as the corpus at large: a bucket
 #: with few occurrences says little, whatever they are.
 PRIOR = 100.0
-#: The prior of the queries, which has no fixed number: this share of the mean count of a bucket, over the trusted share
-#: of all n-grams. So neither the size of the corpus nor the number of labels decides what a count says.
+#: The prior without a fixed number: this share of the mean count of a bucket, over the trusted share of all n-grams. So
+#: neither the size of the corpus nor the number of labels decides what a count says. ``kept_only`` takes no less than
+#: PRIOR: on a corpus with few occurrences a bucket, which can say little of any document, it rejects little.
 PRIOR_SHARE = 0.5
 #: Nats an n-gram below which a document is rejected.
 THRESHOLD = -0.04
@@ -44,11 +45,11 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
     return F.when(F.size(w) < 2, one).otherwise(F.concat(one, pairs))
 
 
-def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, prior: float | None = PRIOR) -> list[float]:
+def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, prior: float | None = PRIOR, least: float = 0.0) -> list[float]:
     """ln p_trusted - ln p_raw for each bucket, from counts over all distinct texts, both smoothed by the same prior.
 
-    With ``prior`` None it is ``PRIOR_SHARE`` of the mean count over the trusted share: all counts multiplied by one number
-    give the same ratios, and the fewer texts are trusted, the nearer the ratios are to 0. Trusted are texts all of whose labels have quality 1. A text with c rows adds c times its n-grams to the counts of
+    With ``prior`` None it is ``PRIOR_SHARE`` of the mean count over the trusted share, at ``least`` so much: all counts
+    multiplied by one number give the same ratios, and the fewer texts are trusted, the nearer the ratios are to 0. Trusted are texts all of whose labels have quality 1. A text with c rows adds c times its n-grams to the counts of
     the texts with c rows, which are then divided by c without a remainder; so no text is moved to count it once. The
     counts are pre-aggregated in each task; the driver gets the ``n`` totals.
     """
@@ -68,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, prior: float | Non
         return [0.0] * n
     share = sum(good) / sum(raw)
     if prior is None:
-        prior = PRIOR_SHARE * sum(raw) / n / share
+        prior = max(least, PRIOR_SHARE * sum(raw) / n / share)
     return [math.log((g / share + prior) / (r + prior)) for g, r in zip(good, raw)]
 
 
@@ -126,9 +127,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     return measured(docs.select("doc_id", "text"), ratios).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def kept_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS, prior: float | None = PRIOR) -> DataFrame:
+def kept_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS, prior: float | None = None, least: float = PRIOR) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; nothing is shuffled."""
     own = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text")
-    out = measured(row, fit(docs, labels, n, prior)).where(~F.col("base_failed") & (F.col("score") >= threshold))
+    out = measured(row, fit(docs, labels, n, prior, least)).where(~F.col("base_failed") & (F.col("score") >= threshold))
     return out.select("_row.*")

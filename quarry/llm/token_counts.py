@@ -108,18 +108,21 @@ def piece_list(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(n) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
 
 
-def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: list[str] | dict[str, float], text: str = "text") -> DataFrame:
     """``docs`` without the text, with n_pretokens and n_tokens of each whole text.
 
-    ``pieces``: a vocabulary in order of frequency; workers get it as a broadcast of fixed size.
+    ``pieces``: a unigram vocabulary, as ln p by piece, or as a list in order of frequency, whose costs are then those of
+    ``costs``; workers get it as a broadcast of fixed size.
     """
     bounded(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    given = {p: round(-1_000_000 * x) for p, x in pieces.items()} if isinstance(pieces, dict) else costs(pieces)
+    name = hash(tuple(given.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(given)
     own = [c for c in docs.columns if c not in (text, "n_pretokens", "n_tokens")]
 
     def run(batches):
-        trie = Trie(costs(shared.value))
-        known = _known.setdefault(hash(tuple(shared.value)), {})
+        trie = Trie(shared.value)
+        known = _known.setdefault(name, {})
         for batch in chunks(batches, text):
             split = [t.split() for t in text_list(batch, text)]
             if len(known) > MEMORY:

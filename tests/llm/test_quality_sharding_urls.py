@@ -59,6 +59,35 @@ def test_quality_against_brute_force(spark, documents):
     assert len(got) == len(rows)
 
 
+def test_quality_base_columns_against_sql(spark):
+    """The whole small table, by SQL that shares nothing with the operator but the word pattern."""
+    import os
+
+    import duckdb
+
+    from quarry.llm.oracle import QUALITY_BASE
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    want = con.execute(QUALITY_BASE)
+    columns = [c[0] for c in want.description]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    got = quality.measured(docs.select("doc_id", "text"), [0.0] * 16).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str) and len(got) > 900
+
+
+def test_quality_prior_of_the_pipeline(spark, documents):
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 40}" for j in range(60))) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    few = documents(rows)
+    assert quality.fit(few, labels, prior=None, least=quality.PRIOR) == quality.fit(few, labels, prior=quality.PRIOR)
+    # With few buckets there are many occurrences in each, and the least prior is none.
+    assert quality.fit(few, labels, n=16, prior=None, least=quality.PRIOR) == quality.fit(few, labels, n=16, prior=None)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(None, 1), (4, None)], "doc_id long, quality int")
     assert quality.judge(odd, labels).count() == odd.count()

@@ -130,6 +130,13 @@ def test_token_counts_against_brute_force(spark, documents):
         assert got[i] == (len(words), sum(brute_count(token_counts.MARK + w, cost) for w in words)), t
 
 
+def test_token_counts_with_given_scores(spark, documents):
+    docs = documents([(1, "aab ab"), (2, "")]).select("doc_id", "text")
+    scores = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -3.0, "▁a": -1.5, "aab": -9.0}
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, scores).collect()}
+    assert got == {1: 2 + 2, 2: 0}  # _a ab; _a b at 3.5 before _ ab at 4
+
+
 def test_token_counts_odd_rows(spark, odd):
     pieces = ["▁", "a", "lo", "ng", "l", "o", "n", "g"]
     out = token_counts.count_tokens(odd, pieces)
