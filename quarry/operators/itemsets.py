@@ -71,10 +71,17 @@ def son_candidates(pairs: DataFrame, min_count: int, part: Column) -> DataFrame:
 
 
 def counted(pairs: DataFrame, candidates: DataFrame, min_count: int) -> DataFrame:
-    """SON's second pass: exact counts of candidate itemsets, of which the frequent stay."""
-    index = candidates.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = index.join(pairs, "item").groupBy("items", "size", "basket").agg(F.count("*").alias("met")).where("met = size")
-    return held.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count)
+    """SON's second pass: exact counts of candidate itemsets, of which the frequent stay.
+
+    Candidates have all their subsets among them, as those of the first pass do. Baskets are walked along candidates only:
+    an occurrence of a set grows by later items of its basket while the result is a candidate and frequent.
+    """
+    wanted = stored(candidates.select(F.array_sort("items").alias("items")), "candidates")
+    levels = _levels(pairs, [], lambda c: c.where(F.col("freq") >= min_count).join(wanted, "items", "left_semi"))
+    out = levels[0]
+    for c in levels[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def frequent_pairs_pcy(pairs: DataFrame, min_count: int, buckets: int = 1 << 20) -> DataFrame:
