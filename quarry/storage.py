@@ -30,9 +30,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this process stored, once no DataFrame that reads them is needed any more."""
+def stored_so_far() -> int:
+    """How many tables this process has stored and not deleted."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Delete the tables that this process stored, once no DataFrame that reads them is needed any more: those after the
+    first ``since``, without the ``but_last`` last ones."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end = len(_written) - but_last
+    for name in _written[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
+    _written[since:end] = []

@@ -224,6 +224,12 @@ def test_stored_tables_can_be_released(spark):
         assert df.count() == 3 and os.path.isdir(path)
         storage.release(spark)
         assert not os.path.isdir(path) and not storage._written
+        frames = [storage.stored(spark.range(k).toDF("id"), "probe") for k in range(1, 5)]
+        paths = list(storage._written)
+        storage.release(spark, since=1, but_last=1)
+        assert storage._written == [paths[0], paths[3]] and [os.path.isdir(p) for p in paths] == [True, False, False, True]
+        assert storage.stored_so_far() == 2 and frames[3].count() == 4
+        storage.release(spark)
     finally:
         storage._written[:] = kept
 
