@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, decontam, jaccard, quality, substring
 from quarry.llm.common import stored
 from quarry.llm.queries import table, tokenizer_path
+from quarry.storage import release, stored_so_far
 
 #: The stages cut texts by counts over the whole corpus that SQL cannot express at this length; tests use brute force.
 ORACLE_SQL = None
@@ -66,6 +67,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before = stored_so_far()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        # The stage is written: what it and the one before left behind is not read any more.
+        release(spark, since=before, but_last=1)
     return docs
