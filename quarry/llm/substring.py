@@ -6,6 +6,9 @@ hold a copy of any of its windows: each window of WINDOW words picks the least h
 like windows pick alike. A block is the index of all stretches whose windows picked hashes of one bucket; stretches
 whose hash occurs in one document only are left out, as nothing can be copied from them.
 
+A task hands on each stretch once: one that a smaller document of the task has word for word is a factor as it is. So a
+passage that a third of all documents share reaches its block as often as there are tasks, not as there are documents.
+
 In a block, stretches come in order of doc_id. A factor starts where the next WINDOW words stand in the index and is
 the longest run of words from there that stands in any reference stretch; factors are at least WINDOW words. Windows across the
 end of a factor are checked anew, since another source may hold them. All factors together cover just the windows that
@@ -33,6 +36,8 @@ from quarry.llm.fingerprints import PACKED_SCHEMA, Packer, WordHashes, bucket_co
 WINDOW, GRAM = 13, 5
 #: Windows in a stretch at most; a longer run of one hash, as in a text that repeats a phrase, is several stretches.
 MOST_WINDOWS = 48
+#: Stretches that a task remembers, so that it hands each on once; it starts anew beyond.
+STRETCHES_KEPT = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -147,7 +152,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     met = rows.join(wanted.hint("merge"), "_id", "left")
 
     def cut(batches):
-        known = WordHashes()
+        known, least = WordHashes(), {}
         for batch in chunks(batches, "_text"):
             batch = batch.filter(pa.compute.is_valid(batch.column("keys")))
             if not batch.num_rows:
@@ -165,30 +170,46 @@ def _spans(rows: DataFrame) -> DataFrame:
             keys, doc, first, last = keys[hit], doc[hit], first[hit], last[hit]
             starts = first - own.before[doc]
             texts = [b" ".join(own.words[d][a : a + n]) for d, a, n in zip(doc.tolist(), starts.tolist(), (last - first + WINDOW).tolist())]
-            ids, rows_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_row"))
+            ids, rows_ = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("_id", "_row"))
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            if len(least) > STRETCHES_KEPT:
+                least.clear()
+            for k, (text, d) in enumerate(zip(texts, ids.tolist())):
+                if least.setdefault(text, d) < d:
+                    # A smaller document of this task has it: a factor as it is, which any block may pass on.
+                    texts[k], bucket[k] = None, (rows_[k] ^ starts[k]) % buckets
+                else:
+                    least[text] = d
+            after = starts + last - first + WINDOW
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys % np.uint64(buckets)).astype(np.int32)), pa.array(ids[doc]), pa.array(rows_[doc]), pa.array(starts.astype(np.int32)), pa.array(texts, pa.binary())],
-                ["bucket", "_id", "row", "start", "words"],
+                [pa.array(bucket), pa.array(ids), pa.array(rows_), pa.array(starts.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(texts, pa.binary())],
+                ["bucket", "_id", "row", "start", "after", "words"],
             )
 
     def parse(batches):
         block, bucket, doc = Block(), None, None
         for batch in batches:
             ids, rows_, starts, out = [], [], [], []
-            for b, d, row, start, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "_id", "row", "start", "words"))):
+            for b, d, row, start, after, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "_id", "row", "start", "after", "words"))):
+                if words is None:
+                    ids.append(d)
+                    rows_.append(row)
+                    starts.append(start)
+                    out.append(after)
+                    continue
                 if b != bucket:
                     block, bucket, doc = Block(), b, d
                 elif d != doc:
                     block.admit()
                     doc = d
-                for first, after in block.factors(words):
+                for first, end in block.factors(words):
                     ids.append(d)
                     rows_.append(row)
                     starts.append(start + first)
-                    out.append(start + after)
+                    out.append(start + end)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows_, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.int32())], ["_id", "row", "first", "after"])
 
-    pieces = met.mapInArrow(cut, "bucket int, _id long, row long, start int, words binary")
+    pieces = met.mapInArrow(cut, "bucket int, _id long, row long, start int, after int, words binary")
     found = pieces.repartition(F.col("bucket")).sortWithinPartitions("bucket", "_id").mapInArrow(parse, "_id long, row long, first int, after int")
     return found.groupBy("_id").agg(F.collect_set(F.struct("row", "first", "after")).alias("spans"))
 

@@ -164,6 +164,22 @@ def test_substrings_of_rows_with_one_id(spark, documents, tmp_path):
     assert [r[2] for r in got if r[0] == 5].count(0) == 2
 
 
+def test_substrings_when_a_task_forgets(spark, documents, tmp_path, monkeypatch):
+    """A passage in most documents, in any order of ids, whether or not tasks remember what they handed on."""
+    draw = random.Random(17)
+    passage = [f"p{k}" for k in range(50)]
+    rows = []
+    for k in draw.sample(range(1000), 80):
+        w = [f"x{draw.randrange(10**6)}" for _ in range(draw.randint(0, 30))]
+        w[len(w) // 2 : len(w) // 2] = passage[draw.randrange(5) : 50 - draw.randrange(5)]
+        rows.append((k, " ".join(w)))
+    path = write(spark, tmp_path, documents, rows)
+    found = lambda: sorted((tuple(r) for r in queries.op4_substring_dedup(spark, path).collect()), key=str)
+    assert found() == brute_substrings(rows)
+    monkeypatch.setattr(substring, "STRETCHES_KEPT", 0)
+    assert found() == brute_substrings(rows)
+
+
 def test_factors_are_the_longest_of_the_block():
     draw = random.Random(16)
     block, seen = substring.Block(3), []
