@@ -31,15 +31,18 @@ def _bytes(size: str) -> int:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts in each have about BATCH_BYTES; a longer text comes alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
-        cut = np.flatnonzero(np.diff(np.cumsum(size) // BATCH_BYTES)) + 1
-        at = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(at, at[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // BATCH_BYTES)) + 1
+            at = [0, *cut.tolist(), batch.num_rows]
+            for a, b in zip(at, at[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
 
 def text_list(batch: pa.RecordBatch, text: str = "text") -> list[str]:

@@ -23,7 +23,7 @@ from quarry.llm.arrow import bounded, chunks, text_list
 NO_RANK = 1 << 30
 NO_PAIR = NO_RANK << 32
 #: Pieces that a worker remembers before it starts anew, their characters, and tree leaves that it builds at once.
-MEMORY, MEMORY_CHARS, FOREST_CELLS = 120_000, 8_000_000, 200_000
+MEMORY, MEMORY_CHARS, FOREST_CELLS = 90_000, 6_000_000, 150_000
 #: Symbols of a word beyond which it has a tree for itself.
 LONG = 256
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Its odd multiples tell the places in a word sequence apart.
 ODD = 0x9E3779B97F4A7C15
 #: Hashes of words that a worker remembers, and fingerprints that it packs before it hands them on.
-WORDS_KEPT, PACKED = 150_000, 400_000
+WORDS_KEPT, PACKED = 100_000, 300_000
 
 
 class WordHashes(dict):
