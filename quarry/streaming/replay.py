@@ -231,9 +231,9 @@ def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags_of(events: DataFrame) -> DataFrame:
-    """(event_id, tags): the tag of each event that has one."""
+    """(event_id, tags): the type, and the type with its property, of each event that has one."""
     tag = F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))
-    return events.where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", F.array(tag).alias("tags"))
+    return events.where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", F.array("event_type", tag).alias("tags"))
 
 
 def stream_tag_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
