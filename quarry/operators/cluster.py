@@ -17,6 +17,10 @@ from quarry.functions.similarity import euclidean, mahalanobis
 from quarry.storage import stored
 
 
+#: Coordinates up to which k-means takes its steps on the driver.
+LOCAL_CELLS = 2_000_000
+
+
 def cluster_stats(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, dim, n, sum, sumsq, std): population statistics of each dimension."""
     long = points.select(F.col(cluster).alias("cluster"), F.posexplode("coords").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -72,12 +76,15 @@ def _coords(batch: pa.RecordBatch) -> np.ndarray:
 def kmeans(points: DataFrame, k: int, rounds: int = 30, tolerance: float = 0.01) -> tuple[DataFrame, np.ndarray]:
     """(point_id, cluster) and the centers, by Lloyd's steps; stops when the centers move by less than ``tolerance`` in L1.
 
-    Each step is one pass with sums of each task; empty clusters vanish.
+    Each step is one pass with sums of each task; empty clusters vanish. Up to LOCAL_CELLS coordinates (16 MB) the steps are
+    taken on the driver, the same ones: a job for each would cost more than its work.
     """
     points = points.select("point_id", F.col("coords").cast("array<double>").alias("coords"))
     centers = first_centers(points, k)
     if not len(centers):
         return points.select("point_id", F.lit(-1).alias("cluster")), centers
+    if points.count() * centers.shape[1] <= LOCAL_CELLS:
+        return _assigned(points, _lloyd(points, centers, rounds, tolerance))
     for _ in range(rounds + 1):
         now = centers
 
@@ -99,10 +106,30 @@ def kmeans(points: DataFrame, k: int, rounds: int = 30, tolerance: float = 0.01)
         centers = new
         if moved < tolerance and len(alive) == len(now):
             break
+    return _assigned(points, centers)
+
+
+def _assigned(points: DataFrame, centers: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Points with their nearest centers, and the centers."""
     table = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>")
     return nearest_centroid(points, table).select("point_id", "cluster"), centers
 
 
+def _lloyd(points: DataFrame, centers: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
+    """Lloyd's steps over few points on the driver."""
+    x = np.array([r[0] for r in points.orderBy("point_id").select("coords").collect()], dtype=float)
+    for _ in range(rounds + 1):
+        at = _nearest(centers, x)
+        alive = np.unique(at)
+        new = np.array([x[at == c].sum(axis=0) / (at == c).sum() for c in alive])
+        moved = np.abs(new - centers[alive]).sum()
+        done = moved < tolerance and len(alive) == len(centers)
+        centers = new
+        if done:
+            break
+    return centers
+
+
 @dataclass
 class Summary:
     """What BFR keeps of a cluster: count, sums and sums of squares."""

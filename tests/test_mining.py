@@ -288,8 +288,9 @@ def brute_kmeans(points, k, rounds=30):
     return {i: near(p, centers) for i, p in points}, centers
 
 
-@pytest.mark.parametrize("k", [1, 3, 7])
-def test_kmeans_against_brute_force(spark, k):
+@pytest.mark.parametrize("k,cells", [(1, 0), (3, 0), (7, 0), (3, 10**6), (7, 10**6)])
+def test_kmeans_against_brute_force(spark, k, cells, monkeypatch):
+    monkeypatch.setattr(cluster, "LOCAL_CELLS", cells)
     draw = random.Random(k)
     pts = [(i, [round(draw.gauss(10 * (i % 4), 2), 3), round(draw.gauss(-5 * (i % 3), 1), 3)]) for i in range(150)] + [(200, [0.0, 0.0]), (201, [0.0, 0.0])]
     out, centers = cluster.kmeans(spark.createDataFrame(pts, "point_id long, coords array<double>"), k)
