@@ -12,8 +12,9 @@ The wrapper covers all pages of a host; its statistics are pre-aggregated in eac
 pages is no hot group. Wrappers are broadcast only if a count shows that they are few; otherwise they are joined.
 
 Trees are walked with stacks of their own, so depth is no limit. Equal subtrees are one form, and forms are matched once.
-Two lists of children with over MOST_KINDS pairs of different forms, or over MOST_CELLS places to pair, are aligned along
-their unique common forms first, and between these in order by tag: the one place where the matching is not the best.
+The matching is the best one at any size. Of two lists of children with over MOST_KINDS pairs of different forms, all
+pairs of one depth are matched together, along a trie of the children lists; of tables of over MOST_CELLS cells only some
+rows are kept and the others made again. Both give the same sums and the same pairing as the plain way.
 
 Defined results: null or empty html, or html without text, gives an empty text and is never a host's seed; tags that are
 not closed end with their parent, or at the next block; a null or strange url has the empty host; repeated pages are
@@ -24,9 +25,10 @@ like a new one are replaced.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -46,7 +48,7 @@ NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Different pages, and share of a host's pages, that a template node is on at least.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.9
-#: Pairs of different forms, and places, of two lists of children up to which they are aligned in the best way.
+#: Pairs of different forms of two lists of children up to which they are matched one by one; cells of a table that are kept at once.
 MOST_KINDS, MOST_CELLS = 2_500, 4_000_000
 #: Node numbers in remembered pairings, and forms, beyond which a worker starts anew.
 PAIRS_KEPT, FORMS_KEPT = 1_000_000, 500_000
@@ -198,6 +200,101 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
+class Table:
+    """Best sums of matches of the first children of two lists, one row for each place in the first. A table of over
+    MOST_CELLS cells keeps every ``step``-th row only."""
+
+    def __init__(self, matches: np.ndarray, row_of: np.ndarray, column_of: np.ndarray):
+        """``matches`` of different forms; the form that each child of the two lists has."""
+        self.matches, self.row_of, self.column_of = matches, row_of, column_of
+        n, m = len(row_of), len(column_of)
+        self.step = 1 if n * m <= MOST_CELLS else math.isqrt(n)
+        row = np.zeros(m + 1, dtype=np.int32)
+        self.rows = [row]
+        wide = matches[:, column_of] if len(matches) * m <= MOST_CELLS else None
+        for i in range(n):
+            row = self.after(row, i, wide)
+            if (i + 1) % self.step == 0:
+                self.rows.append(row)
+        self.best = int(row[-1])
+
+    def cells(self) -> int:
+        return self.matches.size + sum([r.size for r in self.rows])
+
+    def after(self, row: np.ndarray, i: int, wide: np.ndarray | None = None) -> np.ndarray:
+        """Row ``i + 1`` from row ``i``."""
+        k, out = self.row_of[i], row.copy()
+        np.maximum(row[1:], row[:-1] + (self.matches[k][self.column_of] if wide is None else wide[k]), out=out[1:])
+        return np.maximum.accumulate(out, out=out)
+
+    def path(self) -> list[tuple[int, int]]:
+        """The places that the best pairing pairs, from the last."""
+        out, i, j = [], len(self.row_of), len(self.column_of)
+        first, rows = i + 1, []  # rows from ``first`` on
+        while i and j:
+            if i - 1 < first:
+                first = (i - 1) // self.step * self.step
+                rows = [self.rows[first // self.step]]
+                for k in range(first, i):
+                    rows.append(self.rows[k + 1] if self.step == 1 else self.after(rows[-1], k))
+            here, above = rows[i - first], rows[i - 1 - first]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                if self.matches[self.row_of[i], self.column_of[j]]:
+                    out.append((i, j))
+        return out
+
+
+def trie_sums(x: list[list[int]], y: list[np.ndarray], matches: np.ndarray):
+    """Best sums of matches of all pairs of a list of ``x`` and a list of ``y``, block by block of ``y``: the place of the
+    block's first list, and the sums. The last column of ``matches`` is zero.
+
+    The lists of a block lie end to end, each in a number range of its own, so that one row of the tables of all of them
+    is one array. A row depends on a beginning of a list of ``x`` only, so it is made once however many lists share that;
+    it is kept where a later list branches off.
+    """
+    order = sorted(range(len(x)), key=x.__getitem__)
+    shared = [0]
+    for a, b in zip(order, order[1:]):
+        u, v = x[a], x[b]
+        n = min(len(u), len(v))
+        shared.append(next((k for k in range(n) if u[k] != v[k]), n))
+    # Places of each list whose rows later ones need.
+    keep, waiting, most = [[]] * len(order), [0], 1
+    for k in range(len(order) - 1, -1, -1):
+        most = max(most, len(waiting))
+        n = bisect_right(waiting, shared[k])
+        keep[k], waiting[n:] = waiting[n:], []
+        if waiting[-1] < shared[k]:
+            waiting.append(shared[k])
+    ends = np.cumsum([0, *[len(v) + 1 for v in y]])
+    start = 0
+    while start < len(y):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + MOST_CELLS // (most + 2), "right")) - 1)
+        column = np.concatenate([part for v in y[start:stop] for part in ([matches.shape[1] - 1], v)])
+        zero = np.repeat(np.arange(stop - start, dtype=np.int64) << 32, np.diff(ends[start : stop + 1]))
+        last = ends[start + 1 : stop + 1] - ends[start] - 1
+        out = np.empty((len(x), stop - start), dtype=np.int32)
+        kept = [(0, zero)]
+        for k, at in enumerate(order):
+            while kept[-1][0] > shared[k]:
+                kept.pop()
+            row, wanted = kept[-1][1], set(keep[k])
+            for depth in range(shared[k], len(x[at])):
+                new = row.copy()
+                np.maximum(row[1:], row[:-1] + matches[x[at][depth]][column[1:]], out=new[1:])
+                row = np.maximum.accumulate(new, out=new)
+                if depth + 1 in wanted:
+                    kept.append((depth + 1, row))
+            out[at] = row[last] - zero[last]
+        yield start, out
+        start = stop
+
+
 class Forms:
     """Subtrees by form: equal ones have one number. Matches of forms are remembered."""
 
@@ -207,6 +304,7 @@ class Forms:
         self.kids: list[tuple[int, ...]] = []
         self.sizes: list[int] = []
         self.best: dict[tuple[int, int], int] = {}
+        self.large: dict[tuple[int, int], Table] = {}
 
     def number(self, root: Node) -> list[Node]:
         """Gives every node outside of furniture its form; returns these nodes in page order."""
@@ -233,13 +331,11 @@ class Forms:
         while stop < n - start and x[-1 - stop] == y[-1 - stop]:
             stop += 1
         pairs = [*((k, k) for k in range(start)), *((len(x) - k, len(y) - k) for k in range(stop, 0, -1))]
-        p, q = range(start, len(x) - stop), range(start, len(y) - stop)
-        if len(p) * len(q) > MOST_CELLS or len(set(x[start : len(x) - stop])) * len(set(y[start : len(y) - stop])) > MOST_KINDS:
-            return pairs + self.anchored(x, y, p, q), range(0), range(0)
-        return pairs, p, q
+        return pairs, range(start, len(x) - stop), range(start, len(y) - stop)
 
     def anchored(self, x, y, p: range, q: range) -> list[tuple[int, int]]:
-        """Pairs along the forms that both have once, in the longest common order; between them in order by tag."""
+        """Pairs along the forms that both have once, in the longest common order; between them in order by tag. Not
+        always the best, so ``match`` and ``aligned`` do without."""
         once_x, once_y = Counter(x[p.start : p.stop]), Counter(y[q.start : q.stop])
         place = {y[j]: j for j in q if once_y[y[j]] == 1}
         ends, tails, back, found = [], [], {}, []
@@ -286,11 +382,12 @@ class Forms:
                 continue
             pairs, p, q = self.plan(*pair)
             x, y = self.kids[pair[0]], self.kids[pair[1]]
-            wanted = {(x[i], y[j]) for i, j in pairs} | {(f, g) for f in {x[i] for i in p} for g in {y[j] for j in q}}
-            if missing := [w for w in wanted if self.quick(*w) is None]:
+            rows, columns = {x[i] for i in p}, {y[j] for j in q}
+            if len(rows) * len(columns) <= MOST_KINDS and (missing := [(f, g) for f in rows for g in columns if self.quick(f, g) is None]):
                 todo += missing
                 continue
-            self.best[pair] = 1 + sum([self.quick(x[i], y[j]) for i, j in pairs]) + int(self.table(x, y, p, q)[-1, -1])
+            # The pairs of the plan are of equal forms.
+            self.best[pair] = 1 + sum([self.sizes[x[i]] for i, _ in pairs]) + (self.sums(*pair, p, q).best if p and q else 0)
             todo.pop()
         return self.quick(a, b)
 
@@ -302,15 +399,53 @@ class Forms:
             return 0
         return self.best.get((a, b)) if self.kids[a] and self.kids[b] else 1
 
-    def table(self, x, y, p: range, q: range) -> np.ndarray:
-        """Best sums of matches of the first children of two ranges."""
-        out = np.zeros((len(p) + 1, len(q) + 1), dtype=np.int32)
-        rows: dict[int, np.ndarray] = {}
-        kinds, column = np.unique(np.array([y[j] for j in q], dtype=np.int64), return_inverse=True)
-        for i, f in enumerate([x[k] for k in p]):
-            if f not in rows:
-                rows[f] = np.array([self.quick(f, g) for g in kinds.tolist()], dtype=np.int32)[column] if len(kinds) else np.zeros(0, dtype=np.int32)
-            out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + rows[f]))
+    def sums(self, a: int, b: int, p: range, q: range) -> Table:
+        """The table of the children of two forms in two ranges; large ones are remembered, up to MOST_CELLS cells."""
+        if (a, b) in self.large:
+            return self.large[a, b]
+        rows, row_of = np.unique(np.array([self.kids[a][i] for i in p], dtype=np.int64), return_inverse=True)
+        columns, column_of = np.unique(np.array([self.kids[b][j] for j in q], dtype=np.int64), return_inverse=True)
+        whole = len(rows) * len(columns) > MOST_KINDS
+        if whole:
+            matches = self.grid(rows, columns)
+        else:
+            matches = np.array([[self.quick(f, g) for g in columns.tolist()] for f in rows.tolist()], dtype=np.int32).reshape(len(rows), len(columns))
+        out = Table(matches, row_of, column_of)
+        if whole or out.step > 1:
+            self.large[a, b] = out
+            while len(self.large) > 1 and sum([t.cells() for t in self.large.values()]) > MOST_CELLS:
+                del self.large[next(iter(self.large))]
+        return out
+
+    def grid(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """The matches of all pairs of two arrays of forms, each in order: from the deepest level that both have up."""
+        levels = [(rows, columns)]
+        while len(rows) and len(columns):
+            f, g = ([k for k in x.tolist() if self.kids[k]] for x in (rows, columns))
+            common = {self.tags[k] for k in f} & {self.tags[k] for k in g}
+            rows, columns = (np.array(sorted({n for k in x if self.tags[k] in common for n in self.kids[k]}), dtype=np.int64) for x in (f, g))
+            levels.append((rows, columns))
+        below = np.zeros((0, 0), dtype=np.int32)
+        for level in range(len(levels) - 2, -1, -1):
+            below = self.level(*levels[level], *levels[level + 1], below)
+        return below
+
+    def level(self, rows, columns, row_kids, column_kids, below: np.ndarray) -> np.ndarray:
+        """The matches of all pairs of two arrays of forms, from ``below``, those of their children."""
+        out = np.zeros((len(rows), len(columns)), dtype=np.int32)
+        below = np.hstack([below, np.zeros((len(below), 1), dtype=np.int32)])  # the last column: before the first child
+        by_tag: tuple[dict, dict] = {}, {}
+        for found, forms in zip(by_tag, (rows, columns)):
+            for k, f in enumerate(forms.tolist()):
+                found.setdefault(self.tags[f], []).append(k)
+        for tag in by_tag[0].keys() & by_tag[1].keys():
+            out[np.ix_(by_tag[0][tag], by_tag[1][tag])] = 1
+            f, g = ([k for k in found[tag] if self.kids[forms[k]]] for found, forms in zip(by_tag, (rows, columns)))
+            if f and g:
+                x = [np.searchsorted(row_kids, self.kids[rows[k]]).tolist() for k in f]
+                y = [np.searchsorted(column_kids, self.kids[columns[k]]) for k in g]
+                for start, part in trie_sums(x, y, below):
+                    out[np.ix_(f, g[start : start + part.shape[1]])] += part
         return out
 
     def aligned(self, a: int, b: int) -> list[tuple[int, int]]:
@@ -322,16 +457,7 @@ class Forms:
         x, y = self.kids[a], self.kids[b]
         out = [(i, j) for i, j in pairs if self.quick(x[i], y[j])]
         if p and q:
-            best, i, j = self.table(x, y, p, q), len(p), len(q)
-            while i and j:
-                if best[i, j] == best[i - 1, j]:
-                    i -= 1
-                elif best[i, j] == best[i, j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    if self.quick(x[p[i]], y[q[j]]):
-                        out.append((p[i], q[j]))
+            out += [(p[i], q[j]) for i, j in self.sums(a, b, p, q).path()]
         return out
 
 

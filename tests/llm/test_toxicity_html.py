@@ -224,6 +224,61 @@ def test_anchored_children_pair_in_order():
         assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:])) and all(forms.tags[x[i]] == forms.tags[y[j]] for i, j in pairs)
 
 
+def mixed(draw, n, tags=("i", "p")):
+    """A list of ``n`` children, most of a form of their own."""
+    return html.parse("<main>" + "".join("<div>" + "".join(f"<{t}></{t}>" * draw.randrange(12) for t in tags) + "</div>" for _ in range(n)) + "</main>")
+
+
+def test_matching_is_the_best_on_lists_of_any_size():
+    draw, forms = random.Random(16), html.Forms()
+    for _ in range(3):
+        a, b = mixed(draw, 75), mixed(draw, 70)
+        forms.number(a), forms.number(b)
+        x, y = (forms.kids[n.nodes()[0].form] for n in (a, b))
+        assert len(set(x)) * len(set(y)) > html.MOST_KINDS
+        assert forms.match(a.form, b.form) == brute_match(a, b) == len(html.pairing(a, b, forms))
+    # Few kinds of children and over MOST_CELLS places.
+    a, b = html.parse("<main><p></p>" + "<i></i>" * 2100 + "<u></u></main>"), html.parse("<main><u></u>" + "<i></i>" * 2000 + "<p></p></main>")
+    assert len(html.pairing(a, b, html.Forms())) == 2 + 2000
+
+
+def test_bounds_of_the_matching_change_no_result(monkeypatch):
+    draw = random.Random(17)
+
+    def tree(depth):
+        node = html.Node(draw.choice("abc") if depth < 3 else "a", depth < 3 and draw.random() < 0.05)
+        node.parts = [tree(depth - 1) for _ in range(draw.choice([0, 1, 2, 3, 9]))] if depth else []
+        return node
+
+    made = [(tree(3), tree(3)) for _ in range(60)] + [(mixed(draw, 9), mixed(draw, 8)) for _ in range(20)]
+    for _, b in made[-20:]:
+        b.nodes()[0].parts += [tree(4) for _ in range(4)]
+    want = [html.pairing(a, b, html.Forms()) for a, b in made]
+    for kinds, cells in ((0, 4_000_000), (2_500, 1), (0, 1), (3, 40)):
+        monkeypatch.setattr(html, "MOST_KINDS", kinds)
+        monkeypatch.setattr(html, "MOST_CELLS", cells)
+        forms = html.Forms()
+        for (a, b), pairs in zip(made, want):
+            assert html.pairing(a, b, forms) == pairs
+            assert forms.match(a.form, b.form) == brute_match(a, b) == len(pairs)
+
+
+def test_the_article_is_found_among_many_kinds_of_nodes(spark):
+    draw = random.Random(18)
+    side = lambda n: "".join("<div>" + "<i></i>" * draw.randrange(12) + "<b></b>" * draw.randrange(12) + "<p>Same</p></div>" for _ in range(n))
+    text = "<div><ul>" + "<li>a" * 30 + "</ul><p>Story {k} goes on</p><h2>More</h2><p>and on {k}</p></div>"
+    pages = ["<body>" + side(45 + 3 * k) + text.replace("{k}", str(k)) + side(60 - 4 * k) + "</body>" for k in range(6)]
+    assert in_time(spark, pages) == ["a\n" * 30 + f"Story {k} goes on\nMore\nand on {k}" for k in range(6)]
+
+
+def test_wrappers_joined_or_broadcast_give_the_same(spark, monkeypatch):
+    draw = random.Random(19)
+    frame = spark.createDataFrame([(k, f"http://h{k % 4}.org/{k}", made_page(draw, k)[0]) for k in range(40)], "page_id long, url string, html string")
+    want = sorted(map(tuple, html.extract(frame).collect()))
+    monkeypatch.setattr("quarry.llm.common.small", lambda df, rows: False)
+    assert sorted(map(tuple, html.extract(frame).collect())) == want
+
+
 def test_pages_without_nodes_are_no_seed(spark):
     page = "<body><div><div>Site name</div><div>Menu of the site</div></div><div><div><p>Story {k} goes on and on, number {k}.</p><p>More of {k}</p></div></div><div>All rights reserved</div></body>"
     pages = [None, "", "no tags", *(page.replace("{k}", str(k * 7)) for k in range(3, 9))]
