@@ -1,7 +1,8 @@
 """Byte pair encoding and decoding; merges are found by a segment tree over the ranks of adjacent pairs.
 
 The vocabulary file is a parameter and is read on the driver; workers get it as a broadcast of fixed size. Text is cut
-at blanks and line ends, which no token crosses; each distinct piece is encoded once per worker (bounded memory).
+at blanks and line ends, which no token crosses; each distinct piece is encoded once and remembered. A worker's memory
+is bounded: beyond it, what the batch at hand does not use is forgotten. Ids are decoded for a whole batch at once.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty string; texts of any
 length are encoded whole; repeated rows give repeated results; an empty table gives an empty result; columns of the
@@ -15,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
@@ -22,7 +24,7 @@ from quarry.llm.arrow import bounded, chunks, text_list
 
 NO_RANK = 1 << 30
 NO_PAIR = NO_RANK << 32
-#: Pieces that a worker remembers before it starts anew, their characters, and tree leaves that it builds at once.
+#: Pieces, and words, that a worker remembers before it forgets those out of use, their characters, and tree leaves that it builds at once.
 MEMORY, MEMORY_CHARS, FOREST_CELLS = 90_000, 6_000_000, 150_000
 #: Symbols of a word beyond which it has a tree for itself.
 LONG = 256
@@ -159,6 +161,8 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        tokens = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        self.tokens = pa.array(tokens, pa.string())
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in pairs], dtype=np.int64)
@@ -171,7 +175,10 @@ class Bpe:
         #: The id of each byte, inside a word and at its end.
         self.inner = np.array([self.ids[c] for _, c in sorted(byte_symbols().items())], dtype=np.int64)
         self.final = np.array([self.ids[c + self.suffix] for _, c in sorted(byte_symbols().items())], dtype=np.int64)
-        self.forget()
+        self.piece_ids: dict[str, bytes] = {}
+        self.words: dict = {}
+        self.forget_pieces(())
+        self.forget_words(())
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of pairs of ids; NO_RANK where a pair can't be merged or has no right side."""
@@ -179,12 +186,19 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], NO_RANK)
 
-    def forget(self) -> None:
-        """Start anew: ids (32 bits each) and tokens (a blank after each) of words, and of texts between blanks."""
-        self.words: dict = {i: (np.int32(i).tobytes(), t + " ") for t, i in self.special.items()}
-        self.piece_ids: dict[str, bytes] = {"": b""}
-        self.piece_tokens: dict[str, str] = {"": ""}
-        self.chars = 0
+    def forget_pieces(self, used) -> None:
+        """Keep the ids (32 bits each) of those texts between blanks only that are used."""
+        known = self.piece_ids
+        self.piece_ids = {p: known[p] for p in used if p in known}
+        self.piece_ids[""] = b""
+        self.chars = sum(map(len, self.piece_ids))
+
+    def forget_words(self, used) -> None:
+        """Keep the ids of those words only that are used, and of special tokens."""
+        known = self.words
+        self.words = {w: known[w] for w in used if w in known and w.__class__ is str}
+        self.word_chars = sum(map(len, self.words))
+        self.words |= {i: np.int32(i).tobytes() for i in self.special.values()}
 
     def merge(self, words: list[str]) -> None:
         """Encode pre-tokens and remember them; words of like length share a forest."""
@@ -197,7 +211,7 @@ class Bpe:
                 for k in group:
                     text = np.frombuffer(coded[k], dtype=np.uint8)
                     ids = LongWord(np.append(self.inner[text[:-1]], self.final[text[-1]]), self).merged()
-                    self.words[words[k]] = ids.tobytes(), " ".join([self.token[i] for i in ids.tolist()]) + " "
+                    self.words[words[k]] = ids.tobytes()
                 continue
             step = max(1, FOREST_CELLS // size)
             for a in range(0, len(group), step):
@@ -207,9 +221,9 @@ class Bpe:
                 symbols, last = self.inner[text], np.cumsum(lengths) - 1
                 symbols[last] = self.final[text[last]]
                 ids, ends = Forest(symbols, lengths, size, self).merged()
-                data, tokens, x = ids.tobytes(), [self.token[i] for i in ids.tolist()], 0
-                for k, y in zip(part, ends.tolist()):
-                    self.words[words[k]] = data[4 * x : 4 * y], " ".join(tokens[x:y]) + " "
+                data, x = ids.tobytes(), 0
+                for k, y in zip(part, (4 * ends).tolist()):
+                    self.words[words[k]] = data[x:y]
                     x = y
 
     def normal(self, text: str) -> str:
@@ -217,6 +231,17 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def all_pretokens(self, pieces: list[str]) -> list[list]:
+        """``pretokens`` of each piece. Those of known printable characters and without special tokens are made normal
+        together, with line ends between them, which nothing composes with."""
+        plain = [p for p in pieces if p.isascii() or p.isprintable()]
+        if self.split_special and self.split_special.search("\n".join(plain)):
+            plain = [p for p in plain if not self.split_special.search(p)]
+        texts = self.normal("\n".join(plain)).split("\n") if plain else []
+        findall = self.pattern.findall
+        out = dict(zip(plain, [[t] if t.isalpha() else findall(t) for t in texts]))
+        return [out[p] if p in out else self.pretokens(p) for p in pieces]
+
     def pretokens(self, piece: str) -> list:
         """The pre-tokens of a text between blanks; a special token is its id."""
         if not self.split_special or not self.split_special.search(piece):
@@ -244,26 +269,42 @@ class Bpe:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode texts between blanks and remember them."""
-        parts = [self.pretokens(p) for p in pieces]
+        parts = self.all_pretokens(pieces)
+        used = set().union(*parts)
+        if len(self.words) > MEMORY or self.word_chars > MEMORY_CHARS:
+            self.forget_words(used)
+        new = [x for x in used if x not in self.words]
+        self.merge(new)
+        self.word_chars += sum(map(len, new))
         words = self.words
-        self.merge(list({x for row in parts for x in row if x not in words}))
-        for piece, row in zip(pieces, parts):
-            self.chars += len(piece)
-            if len(row) == 1:
-                self.piece_ids[piece], self.piece_tokens[piece] = words[row[0]]
-            else:
-                self.piece_ids[piece] = b"".join([words[x][0] for x in row])
-                self.piece_tokens[piece] = "".join([words[x][1] for x in row])
+        self.piece_ids.update(zip(pieces, [words[row[0]] if len(row) == 1 else b"".join([words[x] for x in row]) for row in parts]))
+        self.chars += sum(map(len, pieces))
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of each text as 32-bit integers, and the text that they decode to."""
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        used = set().union(*split)
         if len(self.piece_ids) > MEMORY or self.chars > MEMORY_CHARS:
-            self.forget()
-        if new := [p for p in set().union(*split) if p not in self.piece_ids]:
+            self.forget_pieces(used)
+        if new := [p for p in used if p not in self.piece_ids]:
             self.learn(new)
-        ids, tokens = self.piece_ids.__getitem__, self.piece_tokens.__getitem__
-        return [(b"".join(map(ids, row)), "".join(map(tokens, row))[:-1]) for row in split]
+        ids = self.piece_ids.__getitem__
+        return [b"".join(map(ids, row)) for row in split]
+
+    def columns(self, texts: list[str]) -> tuple[pa.ListArray, pa.Array]:
+        """Ids of each text, and the text that they decode to."""
+        found = self.ids_of(texts)
+        data = b"".join(found)
+        ends = pa.array(np.cumsum([0, *[len(x) // 4 for x in found]]).astype(np.int32))
+        ids = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
+        decoded = pa.compute.binary_join(pa.ListArray.from_arrays(ends, self.tokens.take(ids)), " ")
+        return pa.ListArray.from_arrays(ends, ids), decoded
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each text as 32-bit integers, and the text that they decode to."""
+        ids, decoded = self.columns(texts)
+        data, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
+        return [(data[a:b].tobytes(), t) for a, b, t in zip(ends, ends[1:], decoded.to_pylist())]
 
     def decode(self, ids) -> str:
         """The tokens joined by a space: the vocabulary has no decoder of its own."""
@@ -295,11 +336,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         bpe = _bpe(shared)
         for batch in chunks(batches, text):
-            found = bpe.encode(text_list(batch, text))
-            data = b"".join([x[0] for x in found])
-            ends = np.cumsum([0, *[len(x[0]) // 4 for x in found]]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], ids, pa.array([x[1] for x in found], pa.string())], [*own, "token_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *bpe.columns(text_list(batch, text))], [*own, "token_ids", "decoded"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own], "token_ids array<int>", "decoded string"])
     return docs.select(*[f"`{c}`" for c in own], f"`{text}`").mapInArrow(run, schema)

@@ -88,6 +88,36 @@ def test_bpe_on_any_text(library, text):
     assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_pieces_in_use_are_learned_once(library, monkeypatch):
+    own = bpe.Bpe(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "MEMORY", 60)
+    learned, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    common = "the <|endoftext|> river, Ärger ΑΣ it's " + "z" * 300
+    for k in range(30):
+        batch = [f"{common} new{k}x{j}" for j in range(20)]
+        for text, (ids, _) in zip(batch, own.encode(batch)):
+            assert np.frombuffer(ids, dtype=np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.piece_ids) < 60 + 60 and len(own.words) < 60 + 80
+    assert len(learned) == len(set(learned)) == len(common.split()) + 30 * 20
+
+
+SMALL = []
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\tab'sΣé\u0301\u0085\xa0日1<|"), st.characters()), max_size=30), max_size=6))
+def test_bpe_of_many_texts_in_little_memory(library, monkeypatch, some):
+    monkeypatch.setattr(bpe, "MEMORY", 5)
+    if not SMALL:
+        SMALL.append(bpe.Bpe(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()))
+    some = [t.encode("utf-8", "ignore").decode() for t in some] + ["again and<|endoftext|> again"]
+    for text, (ids, decoded) in zip(some, SMALL[0].encode(some)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype=np.int32).tolist() == want
+        assert decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_query_digests(spark, documents, library, tmp_path):
     rows = [*enumerate(texts()), (900, None), (901, "again"), (901, "again"), (None, "no id")]
     documents(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
