@@ -331,7 +331,10 @@ class Forms:
         while stop < n - start and x[-1 - stop] == y[-1 - stop]:
             stop += 1
         pairs = [*((k, k) for k in range(start)), *((len(x) - k, len(y) - k) for k in range(stop, 0, -1))]
-        return pairs, range(start, len(x) - stop), range(start, len(y) - stop)
+        p, q = range(start, len(x) - stop), range(start, len(y) - stop)
+        if len(p) == len(q) == 1:
+            return [*pairs, (start, start)], range(0), range(0)
+        return pairs, p, q
 
     def anchored(self, x, y, p: range, q: range) -> list[tuple[int, int]]:
         """Pairs along the forms that both have once, in the longest common order; between them in order by tag. Not
@@ -383,11 +386,13 @@ class Forms:
             pairs, p, q = self.plan(*pair)
             x, y = self.kids[pair[0]], self.kids[pair[1]]
             rows, columns = {x[i] for i in p}, {y[j] for j in q}
-            if len(rows) * len(columns) <= MOST_KINDS and (missing := [(f, g) for f in rows for g in columns if self.quick(f, g) is None]):
+            wanted = [(x[i], y[j]) for i, j in pairs]
+            if len(rows) * len(columns) <= MOST_KINDS:
+                wanted += [(f, g) for f in rows for g in columns]
+            if missing := [w for w in wanted if self.quick(*w) is None]:
                 todo += missing
                 continue
-            # The pairs of the plan are of equal forms.
-            self.best[pair] = 1 + sum([self.sizes[x[i]] for i, _ in pairs]) + (self.sums(*pair, p, q).best if p and q else 0)
+            self.best[pair] = 1 + sum([self.quick(x[i], y[j]) for i, j in pairs]) + (self.sums(*pair, p, q).best if p and q else 0)
             todo.pop()
         return self.quick(a, b)
 
