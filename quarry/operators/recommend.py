@@ -5,11 +5,13 @@ Ratings are (user_id, item_id, stars); several ratings of one pair are averaged
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import amplified, pearson
-from quarry.operators.similar import candidate_pairs, exact_jaccard, signatures
+from quarry.functions.similarity import amplified, jaccard, pearson
+from quarry.operators import pairs
+from quarry.operators.similar import agreeing, candidate_pairs, exact_is_cheaper, exact_jaccard, signatures
+from quarry.storage import stored
 
 #: Fixed values of the hybrid rule: grand average, share of the item average, share of the prediction, default similarity.
 GRAND_AVERAGE, ITEM_SHARE, CF_SHARE, DEFAULT_SIM = 3.7961611526341503, 0.625, 0.6, 0.2
@@ -24,18 +26,24 @@ def similarity(rated: DataFrame, key: str, by: str, min_common: int = 3, near: D
     """(a, b, sim): Pearson similarity of all pairs of ``key``, or of the pairs ``near`` (a < b) only, with enough common
     ``by``, where it is positive.
 
-    Keys with too few ratings go before the join, since they can have no pair.
+    Keys with too few ratings go before pairs are met, since they can have no pair.
     """
     enough = rated.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_common).select(key)
     kept = rated.join(enough, key, "left_semi")
+    if near is None:
+        return _pearson(pairs.met(kept, key, [by], "stars", min_common)).select("a", "b", "sim")
     a = kept.select(by, F.col(key).alias("a"), F.col("stars").alias("x"))
     b = kept.select(by, F.col(key).alias("b"), F.col("stars").alias("y"))
-    met = a.join(b, by).where("a < b") if near is None else near.select("a", "b").join(a, "a").join(b, ["b", by])
-    sums = met.groupBy("a", "b").agg(
+    sums = near.select("a", "b").join(a, "a").join(b, ["b", by]).groupBy("a", "b").agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
         F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    return _pearson(sums.where(F.col("n") >= min_common)).select("a", "b", "sim")
+
+
+def _pearson(sums: DataFrame) -> DataFrame:
+    """(a, b, n, sim) of sums over common ratings, where the similarity is positive."""
     sim = F.round(pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]), 6)
-    return sums.where(F.col("n") >= min_common).select("a", "b", sim.alias("sim")).where("sim > 0")
+    return sums.select("a", "b", "n", sim.alias("sim")).where("sim > 0")
 
 
 def item_similarity(rated: DataFrame, min_common: int = 3) -> DataFrame:
@@ -47,11 +55,21 @@ def user_similarity(rated: DataFrame, min_common: int = 3, near: DataFrame | Non
 
 
 def user_similarity_lsh(rated: DataFrame, min_items: int = 3, threshold: float = 0.01, n_hashes: int = 50) -> DataFrame:
-    """User similarity of min-hash candidates only: Jaccard at the threshold, enough common items, positive Pearson."""
+    """User similarity of min-hash candidates only: Jaccard at the threshold, enough common items, positive Pearson.
+
+    As in ``similar.lsh_jaccard``, similar pairs or candidates are found first, whichever are fewer.
+    """
     enough = rated.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_items).select("user_id")
-    pairs = rated.join(enough, "user_id", "left_semi").select(F.col("user_id").alias("id"), F.col("item_id").alias("member"))
-    near = exact_jaccard(pairs, threshold, candidate_pairs(signatures(pairs, n_hashes))).where("common >= 3").select("a", "b")
-    return user_similarity(rated, near=near)
+    kept = stored(rated.join(enough, "user_id", "left_semi"), "rated")
+    sets = kept.select(F.col("user_id").alias("id"), F.col("item_id").alias("member"))
+    signs = stored(signatures(sets, n_hashes), "signatures")
+    if not exact_is_cheaper(sets, signs):
+        near = stored(exact_jaccard(sets, threshold, candidate_pairs(signs)).where("common >= 3").select("a", "b"), "near")
+        return user_similarity(kept, near=near)
+    found = _pearson(pairs.met(kept, "user_id", ["item_id"], "stars", 3))
+    sizes = sets.groupBy("id").agg(F.count("*").alias("m"))
+    both = found.join(sizes.select(F.col("id").alias("a"), F.col("m").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("m").alias("nb")), "b")
+    return agreeing(both.where(jaccard(F.col("n"), F.col("na"), F.col("nb")) >= threshold).select("a", "b", "sim"), signs)
 
 
 def both_ways(model: DataFrame) -> DataFrame:
