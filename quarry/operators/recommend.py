@@ -82,11 +82,23 @@ def nearest(df: DataFrame, by: list[str], neighbour: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def weighed(test: DataFrame, own: DataFrame, model: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, item, y, sim, ...) of the test pairs (user, item) and the rows (user, y, ...) of ``own`` whose y is similar to
+    the item; distinct test pairs.
+
+    Pairs meet the item's neighbours or the user's rows first, whichever are fewer; the other join leaves what fits both.
+    """
+    test, own, two = stored(test, "asked"), stored(own, "own"), stored(both_ways(model), "model").withColumnRenamed("x", item)
+    size = lambda other, by: test.groupBy(by).agg(F.count("*").alias("n")).join(other.groupBy(by).agg(F.count("*").alias("m")), by).agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()[0]
+    if size(two, item) <= size(own, user):
+        return test.join(two, item).join(own, [user, "y"])
+    return test.join(own, user).join(two, [item, "y"])
+
+
 def predict_by_items(test: DataFrame, rated: DataFrame, model: DataFrame, k: int = 9) -> DataFrame:
     """(user_id, item_id, stars) of test pairs that have a similar item among the user's rated ones."""
     own = rated.select("user_id", F.col("item_id").alias("y"), "stars")
-    met = test.distinct().join(own, "user_id").join(both_ways(model).withColumnRenamed("x", "item_id"), ["item_id", "y"])
-    best = nearest(met, ["user_id", "item_id"], "y", k)
+    best = nearest(weighed(test.distinct(), own, model, "user_id", "item_id"), ["user_id", "item_id"], "y", k)
     return best.groupBy("user_id", "item_id").agg((F.sum(F.col("stars") * F.col("sim")) / F.sum("sim")).alias("stars"))
 
 
@@ -99,8 +111,7 @@ def predict_by_users(test: DataFrame, rated: DataFrame, model: DataFrame, k: int
     """(user_id, item_id, stars): the user's mean plus the weighted deviations of similar users, within 0 and 5."""
     means = user_means(rated)
     raters = rated.join(means, "user_id").select("item_id", F.col("user_id").alias("y"), (F.col("stars") - F.col("mean")).alias("off"))
-    met = test.distinct().join(raters, "item_id").join(both_ways(model).withColumnRenamed("x", "user_id"), ["user_id", "y"])
-    best = nearest(met, ["user_id", "item_id"], "y", k)
+    best = nearest(weighed(test.distinct(), raters, model, "item_id", "user_id"), ["user_id", "item_id"], "y", k)
     moved = best.groupBy("user_id", "item_id").agg((F.sum(F.col("off") * F.col("sim")) / F.sum("sim")).alias("off"))
     stars = F.least(F.greatest(F.col("mean") + F.col("off"), F.lit(0.0)), F.lit(5.0))
     return moved.join(means, "user_id").select("user_id", "item_id", stars.alias("stars"))
@@ -119,18 +130,31 @@ def hybrid_model(rated: DataFrame) -> DataFrame:
     return item_similarity(rated).select("a", "b", F.round(amplified(F.col("sim")), 6).alias("sim")).where("sim > 0")
 
 
+def _against(sim) -> Column:
+    """A similarity that sorts the greatest first."""
+    return -(F.col(sim) if isinstance(sim, str) else sim).cast("double")
+
+
 def predict_hybrid(test: DataFrame, ratings: DataFrame, model: DataFrame, k: int = 9, default_sim: float = DEFAULT_SIM) -> DataFrame:
     """(user_id, item_id, stars) of test pairs whose user and item are known.
 
     The average of item and user decides: over 4.5 gives 5, over 1.5 stands as it is, else it is mixed with the
     prediction from items (unmodelled pairs weigh ``default_sim``) and rounded half to even.
     """
-    rated = averaged(ratings)
-    own = rated.select("user_id", F.col("item_id").alias("y"), "stars")
-    known = test.distinct().join(ratings.select("item_id").distinct(), "item_id", "left_semi")
-    met = known.join(own, "user_id").join(both_ways(model).withColumnRenamed("x", "item_id"), ["item_id", "y"], "left").withColumn("sim", F.coalesce("sim", F.lit(default_sim)))
-    best = nearest(met, ["user_id", "item_id"], "y", k)
-    cf = best.groupBy("user_id", "item_id").agg((F.sum(F.col("stars") * F.col("sim")) / F.sum("sim")).alias("cf"))
+    own = stored(averaged(ratings).select("user_id", F.col("item_id").alias("y"), "stars"), "own")
+    known = stored(test.distinct().join(ratings.select("item_id").distinct(), "item_id", "left_semi"), "asked")
+    # Of the user's items that the model does not pair with the item, those of least number come first: as many of the
+    # user's first items as are wanted and paired always hold them. So no row is made of a test pair and a rated item.
+    hits = weighed(known, own, model, "user_id", "item_id").groupBy("user_id", "item_id").agg(F.collect_list(F.struct(_against("sim").alias("s"), "y", "stars")).alias("hits"))
+    lists = own.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("y", "stars"))).alias("own"))
+    met = known.join(hits, ["user_id", "item_id"], "left").join(lists, "user_id")
+    none = F.filter(F.transform("own", lambda o: F.struct(F.lit(0.0).alias("s"), o["y"].alias("y"), o["stars"].alias("stars"))), lambda o: F.lit(False))
+    met = met.select("user_id", "item_id", "own", F.coalesce("hits", none).alias("hits"))
+    rest = F.filter(F.slice("own", F.lit(1), F.size("hits") + k), lambda o: ~F.array_contains(F.transform("hits", lambda h: h["y"]), o["y"]))
+    rest = F.transform(F.slice(rest, 1, k), lambda o: F.struct(_against(F.lit(default_sim)).alias("s"), o["y"].alias("y"), o["stars"].alias("stars")))
+    best = met.select("user_id", "item_id", F.slice(F.array_sort(F.concat("hits", rest)), 1, k).alias("best"))
+    over = lambda of: F.aggregate("best", F.lit(0.0), lambda total, x: total + of(x))
+    cf = best.select("user_id", "item_id", (over(lambda x: x["stars"] * -x["s"]) / over(lambda x: -x["s"])).alias("cf"))
     users, items = averages(ratings, "user_id").withColumnRenamed("mean", "um"), averages(ratings, "item_id").withColumnRenamed("mean", "im")
     both = cf.join(users, "user_id", "left").join(items, "item_id", "left")
     avg = ITEM_SHARE * F.coalesce("im", F.lit(GRAND_AVERAGE)) + (1 - ITEM_SHARE) * F.coalesce("um", F.lit(GRAND_AVERAGE))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.similarity import amplified
 from quarry.operators import cluster, graph, itemsets, recommend, similar, sketch, text
 from quarry.plans import views
+from quarry.storage import stored
 from quarry.streaming import replay
 
 #: Share of the baskets that a frequent itemset is in, basket sizes that are too small, and parts of SON's first pass.
@@ -52,12 +53,12 @@ def _predicted(df):
 
 
 def cf_item_predict(spark, d):
-    rated = recommend.averaged(views.train(spark, d))
+    rated = stored(recommend.averaged(views.train(spark, d)), "rated")
     return _predicted(recommend.predict_by_items(views.test(spark, d).select("user_id", "item_id"), rated, recommend.item_similarity(rated)))
 
 
 def cf_user_predict(spark, d):
-    rated = recommend.averaged(views.train(spark, d))
+    rated = stored(recommend.averaged(views.train(spark, d)), "rated")
     return _predicted(recommend.predict_by_users(views.test(spark, d).select("user_id", "item_id"), rated, recommend.user_similarity(rated)))
 
 
@@ -76,35 +77,34 @@ def user_mean_of_means(spark, d):
 
 
 def hybrid_predict(spark, d):
-    train = views.train(spark, d)
+    train = stored(views.train(spark, d), "train")
     model = recommend.hybrid_model(recommend.averaged(train))
     return _predicted(recommend.predict_hybrid(views.test(spark, d).select("user_id", "item_id"), train, model))
 
 
-def _strange(spark, d):
-    """Test pairs of which some have an unknown user or item: customers and parts without any order."""
-    pairs = views.test(spark, d).select("user_id", "item_id").distinct()
+def _strange(pairs):
+    """Distinct test pairs of which some have an unknown user or item: customers and parts without any order."""
     return pairs.select("user_id", (F.col("item_id") * 2).alias("item_id")).unionByName(pairs.select((F.col("user_id") * 2).alias("user_id"), (F.col("item_id") * 2).alias("item_id")))
 
 
 def cold_start_or(spark, d):
-    return _predicted(recommend.cold_pairs(_strange(spark, d), views.train(spark, d), "or"))
+    return _predicted(recommend.cold_pairs(_strange(views.test(spark, d).select("user_id", "item_id").distinct()), views.train(spark, d), "or"))
 
 
 def hybrid_predict_all(spark, d):
     """All test pairs in one result: the hybrid for known users and items, the grand average for the rest."""
-    train = views.train(spark, d)
-    pairs = views.test(spark, d).select("user_id", "item_id").unionByName(_strange(spark, d)).distinct()
+    train = stored(views.train(spark, d), "train")
+    known = stored(views.test(spark, d).select("user_id", "item_id").distinct(), "test")
+    pairs = stored(known.unionByName(_strange(known)).distinct(), "pairs")
     return _predicted(recommend.predict_all(pairs, train, recommend.hybrid_model(recommend.averaged(train))))
 
 
 def cold_start_and(spark, d):
-    return _predicted(recommend.cold_pairs(_strange(spark, d), views.train(spark, d), "and"))
+    return _predicted(recommend.cold_pairs(_strange(views.test(spark, d).select("user_id", "item_id").distinct()), views.train(spark, d), "and"))
 
 
 def rmse(spark, d):
-    train = views.train(spark, d)
-    rated = recommend.averaged(train)
+    rated = stored(recommend.averaged(views.train(spark, d)), "rated")
     found = recommend.predict_by_items(views.test(spark, d).select("user_id", "item_id"), rated, recommend.item_similarity(rated))
     return recommend.rmse(_predicted(found), recommend.averaged(views.test(spark, d))).select("n", F.round("rmse", 6).alias("rmse"))
 

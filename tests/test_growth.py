@@ -1,4 +1,4 @@
-"""What is shuffled and held grows with the input: the steps that pairs share."""
+"""What is shuffled and held grows with the input: the steps that pairs, predictions, itemsets and tag reports share."""
 
 import math
 import random
@@ -134,3 +134,38 @@ def test_similar_pairs_first_unless_members_are_popular(spark):
     assert similar.exact_is_cheaper(sparse, similar.signatures(sparse))
     popular = spark.createDataFrame([(i, m) for i in range(400) for m in (2121, *range(i * 6, i * 6 + 6, 2))], "id long, member long")
     assert not similar.exact_is_cheaper(popular, similar.signatures(popular, 1))
+
+
+def predictions(test, data, model, default=None, k=9):
+    """The weighted mean of the nearest rated items of each test pair, by the product of both."""
+    sims = {**model, **{(b, a): s for (a, b), s in model.items()}}
+    out = {}
+    for u, i in set(test):
+        near = sorted((-sims.get((i, y), default), y, s) for v, y, s in data if v == u and (default is not None or (i, y) in sims))[:k]
+        if near:
+            out[u, i] = sum(-w * s for w, _, s in near) / sum(-w for w, _, _ in near)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.002, 0.4])
+def test_predictions_without_the_product(spark, share):
+    """Sparse and dense models; similarities under, at and over the default; half of the rows shuffled before."""
+    draw = random.Random(5)
+    data = rated(40, 120, 30)
+    test = [(u, i) for u in range(45) for i in draw.sample(range(130), 25)]
+    model = {(a, b): draw.choice([0.05, 0.2, 0.3, 0.9]) for a, b in combinations(range(120), 2) if draw.random() < share}
+    frames = [spark.createDataFrame(test, "user_id long, item_id long"), spark.createDataFrame(data, "user_id long, item_id long, stars double").repartition(4).persist(),
+        spark.createDataFrame([(*k, s) for k, s in model.items()], "a long, b long, sim double")]
+    got = {(r[0], r[1]): r[2] for r in recommend.predict_by_items(*frames).collect()}
+    assert got == {k: pytest.approx(v) for k, v in predictions(test, data, model).items()}
+    # Averages of 1.5 and less let the prediction through: 0.6 of it and 0.4 of the average, rounded.
+    low = frames[1].withColumn("stars", F.when(F.col("item_id") % 4 == 0, 3.0).otherwise(F.lit(0.25)))
+    plain = [(u, i, 3.0 if i % 4 == 0 else 0.25) for u, i, _ in data]
+    found, rows = shuffled(spark, lambda: recommend.predict_hybrid(frames[0], low, frames[2]).collect())
+    mean = lambda key, v: float(np.mean([s for *k, s in plain if k[key] == v]))
+    want = {}
+    for (u, i), cf in predictions([t for t in test if t[1] < 120], plain, model, 0.2).items():
+        avg = 0.625 * mean(1, i) + 0.375 * mean(0, u)
+        want[u, i] = avg if avg > 1.5 else float(round(round(0.6 * cf + 0.4 * avg, 9)))
+    assert {(r[0], r[1]): r[2] for r in found} == {k: pytest.approx(v) for k, v in want.items()}
+    assert share > 0.1 or rows < len(want) * 30 / 2  # a test pair and a rated item were a row, twice
