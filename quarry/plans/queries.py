@@ -122,7 +122,7 @@ def basket_build_by_item(spark, d):
 
 def frequent_itemsets_by_item(spark, d):
     """Sets of customers who share EDGE parts or more: baskets are the customers of each part."""
-    pairs = itemsets.basket_items(views.interactions(spark, d), "item_id", "user_id")
+    pairs = stored(itemsets.basket_items(views.interactions(spark, d), "item_id", "user_id"), "baskets")
     return _joined(itemsets.frequent_itemsets(pairs, EDGE))
 
 
@@ -131,7 +131,7 @@ def basket_size_filter(spark, d):
 
 
 def frequent_itemsets(spark, d):
-    pairs = views.baskets(spark, d)
+    pairs = stored(views.baskets(spark, d), "baskets")
     return _joined(itemsets.frequent_itemsets(pairs, _support(pairs)))
 
 
@@ -141,14 +141,16 @@ def frequent_itemsets_fpgrowth(spark, d):
 
 
 def frequent_itemsets_son(spark, d):
-    pairs = views.baskets(spark, d)
+    pairs = stored(views.baskets(spark, d), "baskets")
     s = _support(pairs)
-    return _joined(itemsets.counted(pairs, itemsets.son_candidates(pairs, s, F.pmod("basket", F.lit(PARTS))), s))
+    pairs = itemsets.parted(pairs, F.pmod("basket", F.lit(PARTS)))
+    return _joined(itemsets.counted(pairs, itemsets.son_candidates(pairs, s, F.col("part")), s))
 
 
 def son_candidates(spark, d):
-    pairs = views.baskets(spark, d)
-    return _joined(itemsets.son_candidates(pairs, _support(pairs), F.pmod("basket", F.lit(PARTS))))
+    pairs = stored(views.baskets(spark, d), "baskets")
+    s = _support(pairs)
+    return _joined(itemsets.son_candidates(itemsets.parted(pairs, F.pmod("basket", F.lit(PARTS))), s, F.col("part")))
 
 
 def frequent_pairs_pcy(spark, d):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, pairs, recommend, similar
+from quarry.operators import graph, itemsets, pairs, recommend, similar
 from quarry.plans import views
 
 
@@ -90,7 +90,8 @@ def test_pairs_are_no_rows_of_a_shuffle(spark, monkeypatch):
     data = rated()
     df = spark.createDataFrame(data, "user_id long, item_id long, stars double").repartition(4).persist()
     sets = df.select(F.col("item_id").alias("id"), F.col("user_id").alias("member")).persist()
-    for run in (lambda: recommend.item_similarity(df).collect(), lambda: similar.exact_jaccard(sets, 0.4).count(), lambda: graph.co_interaction(sets, 3).count()):
+    for run in (lambda: recommend.item_similarity(df).collect(), lambda: similar.exact_jaccard(sets, 0.4).count(), lambda: graph.co_interaction(sets, 3).count(),
+                lambda: itemsets.frequent_itemsets(itemsets.basket_items(df, "user_id", "item_id"), 3)):
         assert shuffled(spark, run)[1] < 12 * len(data) < sum(v[0] for v in sums_of(data, 1).values())
 
 
@@ -169,3 +170,25 @@ def test_predictions_without_the_product(spark, share):
         want[u, i] = avg if avg > 1.5 else float(round(round(0.6 * cf + 0.4 * avg, 9)))
     assert {(r[0], r[1]): r[2] for r in found} == {k: pytest.approx(v) for k, v in want.items()}
     assert share > 0.1 or rows < len(want) * 30 / 2  # a test pair and a rated item were a row, twice
+
+
+def test_equal_baskets_count_once_each(spark, monkeypatch):
+    """3,000 baskets of 40 different ones; each was walked by itself."""
+    draw = random.Random(2)
+    kinds = [sorted(draw.sample("abcdefgh", draw.randint(1, 5))) for _ in range(40)]
+    data = [(k, x) for k in range(3000) for x in kinds[k % 40]]
+    df = spark.createDataFrame(data, "basket long, item string").repartition(4).persist()
+    weighted = itemsets.parted(df, F.pmod("basket", F.lit(4)))
+    assert weighted.select("part", "basket").distinct().count() == len({(k % 4, tuple(kinds[k])) for k in range(40)})
+    want = Counter(",".join(c) for k in range(3000) for n in range(1, 6) for c in combinations(kinds[k % 40], n))
+    want = {k: n for k, n in want.items() if n >= 300}
+    named = lambda d: {",".join(r["items"]): r["freq"] for r in d.collect()}
+    sets = itemsets.son_candidates(weighted, 300, F.col("part"))
+    assert {tuple(r["items"]) for r in sets.collect()} == {tuple(r["items"]) for r in itemsets.son_candidates(df, 300, F.pmod("basket", F.lit(4))).collect()}
+    found, rows = shuffled(spark, lambda: named(itemsets.counted(weighted, sets, 300)))
+    assert found == want and len(want) > 20 and rows < len(data)
+    monkeypatch.setattr(itemsets, "MERGED_ITEMS", 3)
+    assert named(itemsets.frequent_itemsets(df, 300)) == want
+    monkeypatch.setattr(itemsets, "FEW_ITEMS", 2)
+    assert named(itemsets.frequent_itemsets(df, 300)) == want
+    assert {tuple(r["items"]) for r in itemsets.son_candidates(df, 300, F.pmod("basket", F.lit(4))).collect()} == {tuple(r["items"]) for r in sets.collect()}
