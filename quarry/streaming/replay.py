@@ -6,6 +6,7 @@ lives in checkpoints under the shared folder, so a lost executor or a restart lo
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import random
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -131,7 +132,7 @@ def merged(lanes: DataFrame, size: int = 100) -> DataFrame:
     return reservoir_sample(lanes.select("event_id", "user_id", "event_type"), "event_id", size, *DRAW)
 
 
-class TagReservoir(StatefulProcessor):
+class TagReservoir:
     """One reservoir of ``size`` tagged events, with the counts of their tags, which fall when an event is evicted.
 
     The n-th tagged event is kept while n <= size, then with a chance of size / n, in place of a random one. Every
@@ -141,22 +142,13 @@ class TagReservoir(StatefulProcessor):
     def __init__(self, size: int, top: int, seed: int):
         self.size, self.top, self.seed = size, top, seed
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tags", "seen long, kept string")
+    def keeps(self, seen: int) -> bool:
+        """Whether the event of this number is kept, which hangs on the number alone."""
+        return seen <= self.size or random.Random(self.seed * 1_000_003 + seen).randint(1, seen) <= self.size
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen, kept = (lambda s: (s[0], json.loads(s[1])) if s else (0, []))(self.state.get())
-        counts = Counter(t for tags in kept for t in tags)
-        events = sorted((e for pdf in rows for e in zip(pdf["event_id"].tolist(), map(list, pdf["tags"]))), key=lambda e: e[0])
-        for begin in range(0, len(events), 1000):
-            reports = []
-            for event_id, tags in events[begin : begin + 1000]:
-                seen += 1
-                self.take(seen, tags, kept, counts)
-                highest = sorted(set(counts.values()), reverse=True)[: self.top]
-                reports += [(seen, event_id, t, n) for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n in highest]
-            yield pd.DataFrame(reports, columns=["seen", "event_id", "tag", "cnt"])
-        self.state.update((seen, json.dumps(kept)))
+    def report(self, counts: Counter) -> list[tuple[str, int]]:
+        highest = sorted(set(counts.values()), reverse=True)[: self.top]
+        return [(t, n) for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n in highest]
 
     def take(self, seen: int, tags: list, kept: list, counts: Counter) -> None:
         """Keep the event or not, and the counts with it."""
@@ -173,19 +165,70 @@ class TagReservoir(StatefulProcessor):
         for t in [t for t, n in counts.items() if n == 0]:
             del counts[t]
 
-    def close(self) -> None:
-        pass
 
+class TagReports:
+    """Writes (seen, event_id, tag, cnt), the trending tags of the reservoir after each tagged event, batch by batch.
 
-def tag_reports(events: DataFrame, size: int = 100, top: int = 3, seed: int = 1) -> DataFrame:
-    """(seen, event_id, tag, cnt): the trending tags of the reservoir after each tagged event of (event_id, tags).
+    Events of a batch come in the order of their ids. Which numbers are kept hangs on the numbers alone, so tasks number the
+    events and draw; only the kept ones, some size x ln(n), are played through on the driver. Between two of them the report
+    stays the same, so tasks write it for all events of the stretch. The state after each batch is a file.
+    """
 
-    A report on each event is one sequence by its meaning, so there is one state: ``size`` events and their tags.
+    def __init__(self, path: str, size: int = 100, top: int = 3, seed: int = 1):
+        self.reservoir, self.path, self.state = TagReservoir(size, top, seed), path, f"{path}-state"
+
+    def after(self, spark: SparkSession, batch: int) -> tuple[int, list]:
+        """How many events were seen and which tags are kept after a batch."""
+        if batch < 0:
+            return 0, []
+        found = spark.read.schema("seen long, kept string").parquet(f"{self.state}/{batch}").first()
+        return found["seen"], json.loads(found["kept"])
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        spark, reservoir = events.sparkSession, self.reservoir
+        before, kept = self.after(spark, batch - 1)
+        rows = stored(events.where(F.size("tags") > 0).select("event_id", "tags"), "tagged")
+        numbered = stored(_numbered(rows, before), "numbered")
+        keeps = F.udf(reservoir.keeps, "boolean")
+        drawn = numbered.where((F.col("seen") <= reservoir.size) | keeps("seen")).orderBy("seen").collect()
+        counts = Counter(t for tags in kept for t in tags)
+        reports = [(before + 1, t, n) for t, n in reservoir.report(counts)] if not drawn or drawn[0]["seen"] > before + 1 else []
+        starts = [before + 1] if reports else []
+        for row in drawn:
+            reservoir.take(row["seen"], list(row["tags"]), kept, counts)
+            starts.append(row["seen"])
+            reports += [(row["seen"], t, n) for t, n in reservoir.report(counts)]
+        total = before + rows.count()
+        # The last start at or before an event's number.
+        places = spark.sparkContext.broadcast(starts)
+        start = F.pandas_udf(lambda seen: pd.Series([places.value[k - 1] if k else 0 for k in (bisect.bisect_right(places.value, x) for x in seen)]), "long")
+        stretches = spark.createDataFrame(reports, "start long, tag string, cnt long")
+        out = numbered.select("seen", "event_id", start("seen").alias("start")).join(F.broadcast(stretches), "start").select("seen", "event_id", "tag", "cnt")
+        out.write.mode("overwrite").parquet(f"{self.path}/part={batch}")
+        spark.createDataFrame([(total, json.dumps(kept))], "seen long, kept string").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/{batch}")
+
+
+def _numbered(rows: DataFrame, before: int) -> DataFrame:
+    """(seen, event_id, tags): the rows numbered in the order of their ids, from ``before`` + 1 on; no task has all of them.
+
+    Rows are dealt to ranges of ids and numbered within; the numbers before a range come from a table of the ranges' sizes.
     """
-    tagged = events.where(F.size("tags") > 0).select("event_id", "tags", F.lit(0).alias("all"))
-    return tagged.groupBy("all").transformWithStateInPandas(
-        statefulProcessor=TagReservoir(size, top, seed), outputStructType="seen long, event_id long, tag string, cnt long", outputMode="Append", timeMode="None"
-    )
+    parts = stored(rows.repartitionByRange("event_id", F.xxhash64("tags")).withColumn("range", F.spark_partition_id()), "ranges")
+    within = F.row_number().over(Window.partitionBy("range").orderBy("event_id", F.xxhash64("tags")))
+    sizes, first = parts.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect(), []
+    for r in sizes:
+        first.append((r["range"], before))
+        before += r["n"]
+    ahead = rows.sparkSession.createDataFrame(first, "range int, ahead long")
+    return parts.withColumn("within", within).join(F.broadcast(ahead), "range").select((F.col("ahead") + F.col("within")).alias("seen"), "event_id", "tags")
+
+
+def tag_reports(events: DataFrame, size: int = 100, top: int = 3, seed: int = 1) -> DataFrame:
+    """(seen, event_id, tag, cnt): the trending tags of the reservoir after each tagged event of a stream (event_id, tags)."""
+    spark = events.sparkSession
+    path = f"{shared_dir(spark)}/stream-tags-{uuid.uuid4().hex}"
+    run_available(events, TagReports(path, size, top, seed))
+    return spark.read.schema("seen long, event_id long, tag string, cnt long").parquet(f"{path}/part=*")
 
 
 def _collected(stream: DataFrame, mode: str, label: str) -> DataFrame:
@@ -238,8 +281,7 @@ def tags_of(events: DataFrame) -> DataFrame:
 
 def stream_tag_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seen, event_id, tag, cnt): the trending report after every tagged event of the stream."""
-    with rocks_db(spark):
-        return _collected(tag_reports(tags_of(file_events(spark, sf_dir))), "append", "stream-tags").drop("batch")
+    return tag_reports(tags_of(file_events(spark, sf_dir)))
 
 
 def stream_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:

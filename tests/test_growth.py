@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph, itemsets, pairs, recommend, similar
 from quarry.plans import views
+from quarry.streaming import replay
 
 
 def shuffled(spark, run):
@@ -192,3 +193,20 @@ def test_equal_baskets_count_once_each(spark, monkeypatch):
     monkeypatch.setattr(itemsets, "FEW_ITEMS", 2)
     assert named(itemsets.frequent_itemsets(df, 300)) == want
     assert {tuple(r["items"]) for r in itemsets.son_candidates(df, 300, F.pmod("basket", F.lit(4))).collect()} == {tuple(r["items"]) for r in sets.collect()}
+
+
+def test_tag_reports_of_batches_that_are_tables(spark, tmp_path):
+    """No Python task gets the events of a batch: tasks number them, and the state goes from batch to batch by a file."""
+    draw, path = random.Random(4), str(tmp_path / "reports")
+    tags = {k: [f"t{draw.randint(0, 5)}"] * draw.randint(0, 2) for k in range(600)}
+    reports = replay.TagReports(path, 20, 2, 9)
+    for batch, ids in enumerate((range(0, 300), [], range(300, 600))):
+        rows = [(k, tags[k]) for k in ids]
+        draw.shuffle(rows)
+        reports(spark.createDataFrame(rows, "event_id long, tags array<string>").repartition(3), batch)
+    got = sorted(map(tuple, spark.read.parquet(f"{path}/part=*").select("seen", "event_id", "tag", "cnt").collect()))
+    plain, kept, counts, want = replay.TagReservoir(20, 2, 9), [], Counter(), []
+    for seen, k in enumerate((k for k in range(600) if tags[k]), 1):
+        plain.take(seen, tags[k], kept, counts)
+        want += [(seen, k, t, n) for t, n in plain.report(counts)]
+    assert got == sorted(want)
