@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPLIT_DAY = "2000-04-01"
 #: Rows of a table that one task of a shuffle gets.
 TASK_ROWS = 500_000
+#: Shuffled bytes, compressed, up to which adaptive execution joins partitions.
+TASK_BYTES = "16MB"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(spark: SparkSession, sf_dir: str) -> None:
     """Let this session shuffle into so many partitions that none has more than some TASK_ROWS rows of the largest table;
-    a larger setting stays. So what a task holds does not grow with the tables."""
+    a larger setting stays. Partitions are not put together again beyond TASK_BYTES, unless the session names another size.
+    So what a task holds does not grow with the tables."""
     wanted = -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS)
     if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted:
         spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    joined = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(joined) in ("67108864b", "64MB"):  # Spark's own
+        spark.conf.set(joined, TASK_BYTES)
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

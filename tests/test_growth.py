@@ -114,7 +114,7 @@ def test_shuffles_are_spread_by_rows(spark, monkeypatch, tmp_path):
         assert spark.conf.get(key) == before
         monkeypatch.setattr(views, "TASK_ROWS", 90)
         views.spread(spark, str(tmp_path))
-        assert spark.conf.get(key) == "12"
+        assert spark.conf.get(key) == "12" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
     finally:
         spark.conf.set(key, before)
 
